@@ -7,15 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.exact_dedup import exact_dedup
+from textloom.llm.ngram_join import near_components
 from textloom.session import table
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_exact_dedup": op7_exact_dedup}
+    return {"op4_ngram_jaccard": op4_ngram_jaccard, "op7_exact_dedup": op7_exact_dedup}
 
 
 OP7_SQL = r"""
@@ -34,4 +39,4 @@ WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op4_ngram_jaccard": op4_ngram_jaccard, "op7_exact_dedup": OP7_SQL}
