@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import staged
+from textloom.llm.common import staged, text_or_empty
+from textloom.llm.packing import n_words
 
 
 def weighted_targets(sizes: list[float], weights: list[float], share: float = 1.5, cap: float = 2.0) -> list[float]:
@@ -158,3 +159,19 @@ def mix(docs: DataFrame, quota_of, id_col: str = "doc_id", size: Column | None =
     rest = marked.where(in_zone).select("id", "pattern", "size", "order", "base", "rest")
     filled = rest.groupBy("pattern").applyInPandas(_fill, "id long, pattern array<string>, size long, repeats long")
     return sure.unionByName(filled), plan
+
+
+#: Weights of the sources in code-point order, repeating (fixed values of the contract).
+WEIGHTS = (3.0, 1.0, 2.0)
+
+
+def source_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, **options):
+    """mix() of a table with columns source and text: sizes are words, targets are weighted_targets()."""
+    return mix(docs, lambda names, sizes: weighted_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, cap), size=n_words(text_or_empty()), **options)
+
+
+def taken_words(docs: DataFrame, **options) -> DataFrame:
+    """Per row: doc_id, size, source_size, target, taken, repeats, for a table whose rows have one source each."""
+    rows, plan = source_mix(docs, **options)
+    sources = docs.sparkSession.createDataFrame([([p["key"]], p["size"], p["target"]) for p in plan] or [([], 0, 0.0)], "pattern array<string>, source_size long, target double")
+    return rows.join(F.broadcast(sources), "pattern").select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")  # max_patterns rows

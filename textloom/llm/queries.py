@@ -6,37 +6,72 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm import oracle
+from textloom.llm.chat_pairs import format_preferences, swapped_answers
 from textloom.llm.exact_dedup import exact_dedup
+from textloom.llm.fingerprints import compare_with_next
+from textloom.llm.html_text import extract_text
+from textloom.llm.license_scan import scan_licenses
+from textloom.llm.mixing import taken_words
 from textloom.llm.ngram_join import near_components
+from textloom.llm.packing import pack
+from textloom.llm.quality_gam import score_quality, train
+from textloom.llm.url_filters import filter_urls
 from textloom.session import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(table(spark, sf_dir, "documents"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_ngram_jaccard": op4_ngram_jaccard, "op7_exact_dedup": op7_exact_dedup}
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, rejected = swapped_answers(table(spark, sf_dir, "conversations"))
+    return format_preferences(chosen, rejected, "conv_id")
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
 
 
-OP7_SQL = r"""
-WITH d AS (
-  SELECT doc_id, length(coalesce(text, '')) AS n,
-         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
-  FROM documents)
-SELECT doc_id,
-       first_value(doc_id) OVER w AS keep_id,
-       count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       first_value(doc_id) OVER w = doc_id AS kept,
-       text_sha256
-FROM d
-WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
-"""
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    ops = (op1_url_filter, op2_license_scan, op3_length_packing, op4_ngram_jaccard, op5_source_mix, op6_html_text, op7_exact_dedup, op8_quality_gam, op9_preference_format, op10_fingerprint)
+    return {f.__name__: f for f in ops} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard": op4_ngram_jaccard, "op7_exact_dedup": OP7_SQL}
+    return oracle.oracle_sql()
