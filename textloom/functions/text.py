@@ -32,6 +32,11 @@ GLOSS_ABBREVIATIONS = "sg pl du pst prs fut ipfv pfv prog hab nom acc erg gen da
 ENGLISH_WORDS = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which".split()
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with c evaluated once: bound as a lambda variable, so that chains of conditions don't multiply the expression."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end (all kinds, unlike trim)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -120,18 +125,24 @@ def _last(c: Column, mark: str) -> Column:
 
 def widest_quote(c: Column) -> Column:
     """The stripped text inside the widest pair of quotes (the first of equals), null without a pair."""
-    spans = F.array(*[F.struct((_last(c, b) - F.instr(c, a)).alias("width"), F.instr(c, a).alias("at"), F.lit(-i).alias("first")) for i, (a, b) in enumerate(QUOTE_PAIRS)])
-    best = F.array_max(F.filter(spans, lambda s: (s["at"] > 0) & (s["width"] > 0)))
-    # the span's order is width, then position; equal widths go to the earlier pair
-    ranked = F.array_max(F.transform(F.filter(spans, lambda s: (s["at"] > 0) & (s["width"] > 0)), lambda s: F.struct(s["width"].alias("width"), s["first"].alias("first"), s["at"].alias("at"))))
-    return F.when(best.isNotNull(), strip(F.substring(c, ranked["at"] + 1, ranked["width"] - 1)))
+
+    def inside(x: Column) -> Column:
+        spans = F.array(*[F.struct((_last(x, b) - F.instr(x, a)).alias("width"), F.lit(-i).alias("first"), F.instr(x, a).alias("at")) for i, (a, b) in enumerate(QUOTE_PAIRS)])
+        best = F.array_max(F.filter(spans, lambda s: (s["at"] > 0) & (s["width"] > 0)))
+        return let(best, lambda m: F.when(m.isNotNull(), strip(F.substring(x, m["at"] + 1, m["width"] - 1))))
+
+    return let(c, inside)
 
 
 def clean_translation(c: Column) -> Column:
     """The widest quoted part or else the text without edge quotes, one line, without notes at its end."""
     line = F.replace(strip(c), F.lit("\n"), F.lit(" "))
-    bare = strip(F.regexp_replace(F.regexp_replace(strip(line), f"^[{EDGE_QUOTES}]+", ""), f"[{EDGE_QUOTES}]+$", ""))
-    out = collapse(F.coalesce(widest_quote(line), bare))
+
+    def unquoted(x: Column) -> Column:
+        bare = strip(F.regexp_replace(F.regexp_replace(x, f"^[{EDGE_QUOTES}]+", ""), f"[{EDGE_QUOTES}]+$", ""))
+        return F.coalesce(widest_quote(x), bare)
+
+    out = collapse(let(line, unquoted))
     for pattern in TRAILING_NOTES:
         out = strip(F.regexp_replace(out, pattern, " "))
     return strip(collapse(out))
@@ -139,24 +150,36 @@ def clean_translation(c: Column) -> Column:
 
 def between_single_quotes(c: Column) -> Column:
     """The stripped text from the first ‘ to the first ’ if both stand in it."""
-    a, b = F.instr(c, "‘"), F.instr(c, "’")
-    return F.when((a > 0) & (b > 0), strip(F.when(b > a, F.substring(c, a + 1, b - a - 1)).otherwise(""))).otherwise(c)
+
+    def cut(x: Column) -> Column:
+        a, b = F.instr(x, "‘"), F.instr(x, "’")
+        return F.when((a > 0) & (b > 0), strip(F.when(b > a, F.substring(x, a + 1, b - a - 1)).otherwise(""))).otherwise(x)
+
+    return let(c, cut)
 
 
 def _unpaired(c: Column, pairs) -> Column:
+    def bare(a: str, b: str):
+        return lambda x: F.when((F.length(x) > 1) & x.startswith(a) & x.endswith(b), strip(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x)
+
     for a, b in pairs:
-        c = F.when((F.length(c) > 1) & c.startswith(a) & c.endswith(b), strip(F.substring(c, F.lit(2), F.length(c) - 2))).otherwise(c)
+        c = let(c, bare(a, b))
     return c
 
 
 def finetune_source(c: Column) -> Column:
+    """The text between single quotes if there is one, without a pair of quotes around it."""
     return _unpaired(between_single_quotes(c), FINETUNE_PAIRS)
 
 
 def finetune_translation(c: Column) -> Column:
+    """As finetune_source, without words that announce a translation."""
+    def led(lead: str):
+        return lambda x: F.when(F.lower(x).startswith(lead), strip(F.substring(x, F.lit(len(lead) + 1), F.length(x)))).otherwise(x)
+
     out = between_single_quotes(c)
     for lead in TRANSLATION_LEADS:
-        out = F.when(F.lower(out).startswith(lead), strip(F.substring(out, F.lit(len(lead) + 1), F.length(out)))).otherwise(out)
+        out = let(out, led(lead))
     return _unpaired(out, FINETUNE_PAIRS)
 
 

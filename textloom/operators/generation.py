@@ -69,7 +69,7 @@ def nested_buckets(rows: DataFrame, group: str, order: str, limits: Sequence[int
     w = Window.partitionBy(group).orderBy(order)
     at = rows.withColumn("index", (F.row_number().over(w) - 1).cast("long"))
     fits = F.filter(F.array(*map(F.lit, limits)), lambda x: F.pmod(F.col("index"), F.lit(block)) < x)
-    return at.withColumn("bucket", F.explode(fits).cast("long"))
+    return at.withColumn("bucket", F.explode(F.transform(fits, lambda x: x.cast("long"))))
 
 
 def quota_backfill(stages: Sequence[DataFrame], group: str, order: str, limit: int, group_size: int = 1) -> DataFrame:

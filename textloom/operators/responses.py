@@ -1,7 +1,5 @@
 """Parsing free-text model responses, and the results' bookkeeping."""
 
-from __future__ import annotations
-
 import re
 
 import pandas as pd

@@ -1,7 +1,5 @@
 """Exact and fuzzy search over several text fields."""
 
-from __future__ import annotations
-
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 

@@ -87,6 +87,17 @@ PHRASES = r"""phrases AS (SELECT DISTINCT regexp_replace(lower(w), '[^\pL\pN_\s]
   SELECT unnest([w[1], array_to_string(w[1:2], ' ')]) AS w FROM (SELECT regexp_extract_all(text, '\S+') AS w FROM benchmark)))"""
 
 
+def _gloss_sql() -> str:
+    inner = "regexp_replace(g, '\\s+', ' ', 'g')"
+    for pattern, to in tx.GLOSS_RULES:
+        flags = "gi" if pattern.startswith("(?i)") else "g"
+        inner = f"regexp_replace({inner}, '{pattern.removeprefix('(?i)')}', '{to}', '{flags}')"
+    return f"""WITH r AS (SELECT p_partkey, 'k.o. ' || p_name || ' (1sg poss); sp. ' || p_type || CASE WHEN p_size % 2 = 0 THEN ' (2pl) excl ,' ELSE ' (sg).' END AS g FROM part)
+SELECT p_partkey, trim({inner}, '{tx.GLOSS_EDGE}') AS gloss, CASE WHEN contains(g, '(pl') THEN 'Plur' WHEN contains(g, '(sg') THEN 'Sing' END AS number,
+  CASE WHEN contains(g, '3sg') THEN '3' WHEN contains(g, '2sg') THEN '2' WHEN contains(g, '1sg') THEN '1' END AS person, CASE WHEN contains(g, '1sg') THEN true END AS possessive,
+  CASE WHEN contains(g, 'excl') THEN 'Exclusive' WHEN contains(g, 'incl') THEN 'Inclusive' END AS clusivity FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     w = _words
     token = tx.TOKEN.replace("'", "''")
@@ -125,6 +136,7 @@ FROM d GROUP BY book, run, part HAVING bool_or(r = 'S') AND bool_or(r = 'T')""",
         "dictionary_build": f"""WITH {LINES}, h AS (SELECT *, last_value(CASE WHEN size >= 5 THEN ({w("text")})[1] END IGNORE NULLS) OVER (PARTITION BY book ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS headword FROM lines),
 p AS (SELECT book, headword, line_no, unnest(string_split(text, ',')) AS s, unnest(range(0, len(string_split(text, ',')))) AS i FROM h WHERE headword IS NOT NULL)
 SELECT book, headword, row_number() OVER (PARTITION BY book, headword ORDER BY line_no, i) AS sense_no, {_strip("s")} AS translation FROM p WHERE {_strip("s")} <> ''""",
+        "gloss_clean": _gloss_sql(),
         "igt_class": rf"""WITH {LINES}, t AS (SELECT book, line_no, list_filter(regexp_split_to_array(text, '[\s.\-=:/]+'), lambda x: x <> '') AS p, regexp_replace(text, '\[.*?\]', '', 'g') AS bare FROM lines),
 u AS (SELECT *, 2 * len(list_filter(p, lambda x: lower(x) IN ({abbreviations}) OR regexp_full_match(lower(x), '[123](sg|pl|du)'))) / greatest(len(p), 1) AS g, regexp_extract_all(lower(bare), '{token}') AS s FROM t),
 v AS (SELECT *, len(list_filter(s, lambda x: x IN ({english}))) / greatest(len(s), 1) AS e FROM u)

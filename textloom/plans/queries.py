@@ -82,7 +82,7 @@ def sections_collapsed(spark, d):
 
 @query
 def gap_clusters(spark, d):
-    spans = table(spark, d, "events").select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("y"))
+    spans = table(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("y"))
     return layout.gap_clusters(spans, ["user_id"], "y", "event_id").select("user_id", "event_id", "cluster")
 
 
