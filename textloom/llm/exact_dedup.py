@@ -52,7 +52,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
         "exact-dedup",
     )
-    shared = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest")
+    # Small sides are staged, so that both sides of their joins are plain shuffles and a hot digest's rows can be split.
+    shared = staged(narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest"), "exact-dedup-shared")
     repeated = narrow.join(shared, "digest", "left_semi").select(F.col("id").alias("rid"))
     texts = (
         rows.join(repeated, F.col("id").eqNullSafe(F.col("rid")), "left_semi")
@@ -62,10 +63,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
     )
     salted = texts.groupBy("digest", "s", "salt").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("c"))
-    groups = (
-        salted.groupBy("digest", "s")
-        .agg(F.max("rank").alias("top"), F.sum("c").alias("c"))
-        .select("digest", F.xxhash64("s").alias("mark"), "top", "c")
+    groups = staged(
+        salted.groupBy("digest", "s").agg(F.max("rank").alias("top"), F.sum("c").alias("c")).select("digest", F.xxhash64("s").alias("mark"), "top", "c"),
+        "exact-dedup-groups",
     )
     keep = F.expr(f"cast({TOP} - pmod(top, cast({SPAN} as decimal(20,0))) as bigint)")
     return narrow.join(groups, ["digest", "mark"], "left").select(
