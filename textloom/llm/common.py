@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_STAGED: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables that this process has staged. Call it when the results that read them are written; a session that
+    ends without it leaves them to the retention of the shared folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -28,6 +40,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what has been written
     return spark.read.schema(df.schema).parquet(path)
