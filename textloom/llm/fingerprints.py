@@ -35,7 +35,7 @@ FILTER_BITS = 2048
 FEATURES = 160
 SUBHASHES = 5
 #: Share of the way from chance overlap to full overlap that counts as nothing.
-ALPHA = 0.3
+ALPHA = 0.1
 BUFFER = 1 << 16
 
 _FULL = int(WINDOW * np.log2(WINDOW) * 65536)
