@@ -113,9 +113,12 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         .select("node", "n", "token", "p"),
         "ngram-postings",
     )
-    keyed = prefix.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("p", "token"))).alias("key"))  # a part of one set
-    grouped = keyed.groupBy("key", "n").agg(F.min("node").alias("group"))
-    members = staged(keyed.join(grouped, ["key", "n"]).select("node", "group"), "ngram-members")
+    # Both sides of the join are staged, so that adaptive execution can split the rows of a hot key.
+    keyed = staged(prefix.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("p", "token"))).alias("key")), "ngram-keys")  # a part of one set
+    grouped = staged(keyed.groupBy("key", "n").agg(F.min("node").alias("group")), "ngram-grouped")
+    # Members of a group first meet at the group's first position; where that is too late none of them can be linked.
+    inner = F.expr(f"(n - key[0].p) * {100 + percent} >= {2 * percent} * n")
+    members = staged(keyed.join(grouped, ["key", "n"]).select("node", "group", inner.alias("inner")), "ngram-members")
     postings = staged(prefix.join(members.where(F.col("node") == F.col("group")).select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "group"), "ngram-groups")
 
     head = Window.partitionBy("token")
@@ -131,21 +134,21 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         headed.where("group <> lead")
         .where(passes("n", "p", "ln", "lp"))
         .select(F.col("group").alias("a"), F.col("lead").alias("b"))
-        .unionByName(members.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b")))
+        .unionByName(members.where("inner and node <> group").select(F.col("node").alias("a"), F.col("group").alias("b")))
         .distinct()
     )
     near = staged(components(staged(_verified(first, sets, percent), "ngram-links")), "ngram-near")
 
-    placed = staged(members.join(near, "node", "left").select("node", "group", F.coalesce("component", "node").alias("c")), "ngram-placed")
-    spans = placed.groupBy("group").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    placed = staged(members.join(near, "node", "left").select("node", "group", "inner", F.coalesce("component", "node").alias("c")), "ngram-placed")
+    spans = placed.groupBy("group").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.bool_or("inner").alias("inner"))
     lead_c = placed.select(F.col("node").alias("lead"), F.col("c").alias("main")).distinct()
-    spread = staged(headed.join(spans, "group").join(lead_c, "lead").select("token", "group", "n", "p", "low", "high", "main"), "ngram-spread")
+    spread = staged(headed.join(spans.drop("inner"), "group").join(lead_c, "lead").select("token", "group", "n", "p", "low", "high", "main"), "ngram-spread")
     odd = spread.where("low <> main or high <> main").select("token", F.col("group").alias("g1"), F.col("n").alias("n1"), F.col("p").alias("p1"), F.col("low").alias("l1"), F.col("high").alias("h1"))
     any_ = spread.select("token", F.col("group").alias("g2"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
     meet = (
         odd.join(any_, (odd.token == any_.token) & (F.col("g1") != F.col("g2")) & passes("n1", "p1", "n2", "p2") & ((F.col("l1") != F.col("l2")) | (F.col("h1") != F.col("h2")) | (F.col("l1") != F.col("h1"))))
         .select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"))
-        .unionByName(spans.where("low <> high").select(F.col("group").alias("g1"), F.col("group").alias("g2")))
+        .unionByName(spans.where("inner and low <> high").select(F.col("group").alias("g1"), F.col("group").alias("g2")))
         .distinct()
     )
     one = placed.select(F.col("group").alias("g1"), F.col("node").alias("a"), F.col("c").alias("ca"))
