@@ -1,6 +1,7 @@
 """The library's operators on literal rows: positive and negative cases, nulls, blanks and ties."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as tx
 from textloom.functions.vocabulary import gloss_tags
 from textloom.operators import books, generation, labeling, layout, lexical, metrics, morphology, responses, retrieval, rules, search, stats, tagging
+from textloom.plans import queries
 from textloom.sources import readers, sinks
 from textloom.streaming import ledger
 
@@ -238,6 +240,45 @@ def test_search(spark):
     assert search.entry_matches(rows, "X]", "s", "t").count() == 1
 
 
+def brute_partial_ratio(a, b):
+    """Every window, each with the plain table of the longest common subsequence."""
+
+    def ratio(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            new = [0]
+            for j, e in enumerate(y):
+                new.append(row[j] + 1 if c == e else max(row[j + 1], new[j]))
+            row = new
+        return 200 * row[-1] / (len(x) + len(y))
+
+    a, b = sorted((a.casefold(), b.casefold()), key=len)
+    m = len(a)
+    ratios = [ratio(a, b[max(0, i) : i + m]) for i in range(1 - m, len(b))]
+    return max([*ratios, *([ratio(b, a[max(0, i) : i + m]) for i in range(1 - m, m)] if len(b) == m else [])])
+
+
+def test_partial_ratio_scores_every_window():
+    rng = random.Random(6)
+    lengths = [(1, 1), (1, 9), (7, 7), (11, 60), (16, 40), (17, 50), (32, 40), (33, 70), (64, 90), (65, 100), (130, 150)]
+    for m, n in lengths * 4:
+        a, b = ("".join(rng.choices("abcé 😀"[: rng.randint(2, 6)], k=k)) for k in (m, n))
+        assert search.partial_ratio(a, b) == pytest.approx(brute_partial_ratio(a, b)), (a, b)
+    text = "the cat ran; for an hour the dog sand fox " * 1000 + "x" * 20000 + "the amd for"
+    assert search.partial_ratio("the and for", text) == pytest.approx(100 * 10 / 11)
+
+
+def test_fuzzy_search_covers_documents_and_benchmark(spark, tmp_path):
+    words = "the and for then lands fort he an or zzz qqq xxx".split()
+    rng = random.Random(7)
+    texts = {name: [(i, " ".join(rng.choices(words[: rng.choice([3, 9, 12])], k=rng.randint(1, 12)))) for i in range(20)] + [(99, None)] for name in ("benchmark", "documents")}
+    for name, idx in (("benchmark", "item_id"), ("documents", "doc_id")):
+        spark.createDataFrame(texts[name], f"{idx} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.book, r.item_id): r.score for r in queries.queries()["corpus_search_fuzzy"](spark, str(tmp_path)).collect()}
+    scores = {(name, i): brute_partial_ratio("the and for", t) for name, rows in texts.items() for i, t in rows if t}
+    assert got == pytest.approx({k: v for k, v in scores.items() if v >= 60}, abs=1e-5)
+
+
 # metrics and statistics
 
 

@@ -1,8 +1,9 @@
 """Exact and fuzzy search over several text fields."""
 
 from collections.abc import Sequence
-from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,21 +11,62 @@ from pyspark.sql import functions as F
 from textloom.functions.text import strip
 
 
+#: Windows that are scored at once, so that their state stays in the cache.
+CHUNK = 1 << 14
+
+
+@lru_cache(maxsize=64)
+def _masks(needle: str) -> np.ndarray:
+    """By word of bits and code point, the places of the needle where it stands; the last code stands for all others."""
+    codes = [ord(c) for c in needle]
+    bits = next((b for b in (16, 32) if len(codes) <= b), 64)
+    table = np.zeros((-(-len(codes) // bits), max(codes) + 2), f"uint{bits}")
+    for i, c in enumerate(codes):
+        table[i // bits, c] |= table.dtype.type(1 << i % bits)
+    return table
+
+
+def _common(masks: np.ndarray, m: int) -> np.ndarray:
+    """Of every window of m code points, the longest common subsequence with the needle (bit-parallel, all windows abreast)."""
+    n = masks.shape[1] - m + 1
+    state = np.full((len(masks), n), np.iinfo(masks.dtype).max, masks.dtype)
+    for j in range(m):
+        carry = None
+        for s, mask in zip(state, masks[:, j : j + n], strict=True):
+            both = s & mask
+            up = s + both
+            if len(masks) > 1:
+                over = up < s
+                if carry is not None:
+                    up += carry
+                    over |= up < carry
+                carry = over
+            np.subtract(s, both, out=s)
+            np.bitwise_or(s, up, out=s)
+    return np.bitwise_count(~state).sum(axis=0, dtype=np.int64)
+
+
 def partial_ratio(query: str, text: str) -> float:
-    """0 to 100: the best similarity of the shorter string and an equally long window of the longer one."""
+    """0 to 100: the best similarity of the shorter string and a window of the longer one: every equally long window, and
+    the shorter ones at both edges. Similarity is twice the longest common subsequence by the sum of both lengths."""
     a, b = sorted((query.casefold(), text.casefold()), key=len)
     if not a:
         return 100.0 if not b else 0.0
     if a in b:
         return 100.0
-    matcher = SequenceMatcher(None, b, a, autojunk=False)
-    matcher.set_seq2(b)
-    matcher.set_seq1(a)
-    best = 0.0
-    for block in matcher.get_matching_blocks():
-        at = max(0, block.b - block.a)
-        best = max(best, SequenceMatcher(None, a, b[at : at + len(a)], autojunk=False).ratio())
-    return 100 * best
+    best = _best_window(a, b)
+    return max(best, _best_window(b, a)) if len(a) == len(b) else best
+
+
+def _best_window(a: str, b: str) -> float:
+    table, m, n = _masks(a), len(a), len(b)
+    codes = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    other = table.shape[1] - 1
+    codes = np.pad(np.minimum(codes, other), m - 1, constant_values=other)  # windows at the edges reach over them
+    windows = n + m - 1
+    common = np.concatenate([_common(table[:, codes[at : at + CHUNK + m - 1]], m) for at in range(0, windows, CHUNK)])
+    edge = np.arange(1, m)
+    return max(100 * int(common[m - 1 : n].max()) / m, *(200 * np.concatenate([common[: m - 1], common[:n - 1 : -1]]) / (m + np.concatenate([edge, edge]))), 0.0)
 
 
 def exact_hits(rows: DataFrame, query: str, fields: Sequence[str]) -> DataFrame:
