@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import staged
+from textloom.llm.common import staged, unique_and_other
 from textloom.llm.exact_dedup import drop_copies
 from textloom.llm.mixing import source_mix
 from textloom.llm.ngram_join import near_components
@@ -34,10 +34,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of smallest id."""
-    found = near_components(docs, SHINGLE_WORDS, NEAR_PERCENT)
-    stays = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_stays"))
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    """Of each component of near copies the document of smallest id, null ids last. Every row is a node of its own: rows
+    with null or repeated ids are numbered behind the largest id."""
+    unique, others = unique_and_other(docs, "doc_id", "near-dedup")
+    last = unique.agg(F.max("doc_id")).first()[0]
+    others = others.withColumn("_row", F.col("_row") + F.lit(0 if last is None else max(last + 1, 0)))
+    rows = unique.withColumn("_row", F.col("doc_id").cast("long")).unionByName(others)
+    found = near_components(rows, SHINGLE_WORDS, NEAR_PERCENT, id_col="_row")
+    # A unique row's number is its id.
+    ids = others.select(F.col("_row").alias("_other"), F.col("doc_id").cast("long").alias("_id"))
+    named = found.join(ids, F.col("_row") == F.col("_other"), "left").withColumn("_id", F.when(F.col("_other").isNull(), F.col("_row")).otherwise(F.col("_id")))
+    stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first")).select(F.col("_first._row").alias("_stays"))
+    return rows.join(stays, F.col("_row") == F.col("_stays"), "left_semi").drop("_row")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

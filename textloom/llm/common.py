@@ -48,3 +48,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def unique_and_other(docs: DataFrame, id_col: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id no other row has, and the rest (null or repeated ids), staged with a number of each row, `_row`.
+
+    The largest long goes with the rest, since null ids count as that.
+    """
+    known = docs.where(F.col(id_col) < 2**63 - 1)
+    repeated = staged(known.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_id"), f"{name}-repeated")
+    same = F.col(id_col) == F.col("_id")
+    rest = docs.where(F.col(id_col).isNull() | (F.col(id_col) == 2**63 - 1)).unionByName(known.join(repeated, same, "left_semi"))
+    return known.join(repeated, same, "left_anti"), staged(rest.withColumn("_row", F.monotonically_increasing_id()), f"{name}-rest")
