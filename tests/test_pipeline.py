@@ -26,3 +26,11 @@ def test_near_dedup_of_null_and_repeated_ids(spark):
     assert plain == sorted([(5, a), (None, b), (2, e + " x"), (9, f), (9, None), (-4, "")], key=repr)
     assert [x[0] for x in got if (x[1] or "").startswith("c")] == [None] and [x[0] for x in got if (x[1] or "").startswith("d")] == [3]
     assert corpus_pipeline.near_dedup(spark, docs_of(spark, rows).limit(0), "").count() == 0
+
+
+def test_exact_dedup_keeps_one_row_of_equal_texts(spark):
+    rows = [(7, "b"), (7, "b"), (7, " b"), (None, "c"), (None, "c "), (None, "d"), (None, "d"), (4, "d"), (8, "e"), (8, "f"), (1, "f"), (None, None), (None, " "), (2**63 - 1, "g"), (None, "g"), (6, "h")]
+    got = kept(corpus_pipeline.exact_dedup(spark, docs_of(spark, rows), ""))
+    assert [x for x in got if x[1] != "g"] == sorted([(7, " b"), (None, "c "), (4, "d"), (8, "e"), (1, "f"), (None, " "), (6, "h")], key=repr)
+    assert [x[1] for x in got].count("g") == 1
+    assert corpus_pipeline.exact_dedup(spark, docs_of(spark, rows).limit(0), "").count() == 0

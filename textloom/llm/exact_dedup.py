@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACE, staged, text_or_empty
+from textloom.llm.common import SPACE, staged, text_or_empty, unique_and_other
 
 #: Largest long, and the span of a long as a decimal: a winner (most code points, then smallest id) is packed into one
 #: decimal, which hash aggregates can hold in place (fixed values).
@@ -78,6 +78,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs that stay, with all their columns: of equal texts exactly one. exact_dedup's verdict is by id; rows
+    that share their id with others, null ids among them, are numbered to tell them apart."""
+    unique, others = unique_and_other(docs, id_col, "drop-copies")
+    verdicts = staged(exact_dedup(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("_kept_id"), "text_sha256"), "drop-copies-kept")
+    first = (
+        others.select("_row", F.coalesce(F.col(id_col), F.lit(TOP)).alias("_id"), text_or_empty(text_col).alias("_t"))
+        .select(F.sha2(normalised(F.col("_t")), 256).alias("_digest"), F.struct(-F.length("_t"), "_id", "_row").alias("_rank"))
+        .groupBy("_digest")
+        .agg(F.min("_rank").alias("_rank"))
+        .select("_digest", F.col("_rank._row").alias("_first"), F.col("_rank._id").alias("_id"))
+    )
+    # A digest's best row among the others stays where the verdict is for its id.
+    won = verdicts.select(F.coalesce("_kept_id", F.lit(TOP)).alias("_won"), "text_sha256").distinct()
+    stays = first.join(won, (F.col("_digest") == F.col("text_sha256")) & (F.col("_id") == F.col("_won")), "left_semi").select("_first")
+    rest = others.join(stays, F.col("_row") == F.col("_first"), "left_semi").drop("_row")
+    return unique.join(verdicts.select("_kept_id"), F.col(id_col) == F.col("_kept_id"), "left_semi").unionByName(rest)
