@@ -258,6 +258,28 @@ def test_distrust_flows_against_links_and_trust_along_them(spark):
     assert got["farm.com"].verdict == "block" and got["far.com"].verdict == "block" and got["friend.com"].verdict == "allow"
 
 
+def test_ranks_go_on_until_they_have_converged(spark):
+    chain = [("http://spam.net/x", [])] + [(f"http://h{i}.com/", [f"http://h{i - 1}.com/" if i > 1 else "http://spam.net/x"]) for i in range(1, 15)]
+    pages = spark.createDataFrame([(i, u, page(x)) for i, (u, x) in enumerate(chain)], "page_id long, url string, html string")
+    got = {r.host: r for r in url_filters.filter_urls(pages).collect()}
+    for i in range(1, 15):
+        assert got[f"h{i}.com"].distrust == pytest.approx(0.85**i, abs=2e-6) and got[f"h{i}.com"].verdict == "block"
+
+
+def test_ranks_of_cycles_solve_their_equations(spark):
+    links = {"spam.net": ["a.com"], "good.org/fr": ["a.com", "b.com"], "a.com": ["b.com", "spam.net"], "b.com": ["c.com", "a.com"], "c.com": ["a.com"], "d.com": ["c.com", "d.com"]}
+    pages = spark.createDataFrame([(i, f"http://{u}/", page([f"http://{x}/" for x in links[u]])) for i, u in enumerate(links)], "page_id long, url string, html string")
+    got = {r.host: r for r in url_filters.host_ranks(url_filters.judged(pages), pages, damping=0.5).collect()}
+    hosts = [u.split("/")[0] for u in links]
+    w = np.array([[float(a != b and b in links[u]) for b in hosts] for a, u in zip(hosts, links, strict=True)])
+    forth = w / np.maximum(w.sum(1, keepdims=True), 1)
+    back = w / np.maximum(w.sum(0, keepdims=True), 1)
+    trust = np.linalg.solve(np.eye(6) - 0.5 * forth.T, [float(h == "good.org") for h in hosts])
+    distrust = np.linalg.solve(np.eye(6) - 0.5 * back, [float(h == "spam.net") for h in hosts])
+    for h, t, d in zip(hosts, trust, distrust, strict=True):
+        assert (got[h].trust if h in got else 0) == pytest.approx(t, abs=1.1e-6) and (got[h].distrust if h in got else 0) == pytest.approx(d, abs=1.1e-6)
+
+
 # license scans
 
 

@@ -11,6 +11,7 @@ written to the shared folder; the driver reads one number of each.
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,9 @@ from textloom.llm.common import staged
 #: Rules of the contract (fixed values): action, host and path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
+#: Rounds that the SQL unrolls; the operator itself goes on until the ranks have converged.
 ROUNDS = 10
-#: Ranks count to so many places; smaller changes end the iteration.
+#: Ranks count to so many places; the iteration ends when all that is still to come adds up to a tenth of the last.
 PLACES = 6
 
 #: An absolute or scheme-relative link; its host is the group.
@@ -65,8 +67,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", _lower(F.col("dst")).alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 
-def host_ranks(rows: DataFrame, pages: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) of every host that is a seed or was reached; all others have none of either."""
+def host_ranks(rows: DataFrame, pages: DataFrame, damping: float = DAMPING, tolerance: float = 0.1**PLACES / 10) -> DataFrame:
+    """(host, trust, distrust) of every host that is a seed or was reached; all others have none of either.
+
+    A round hands on at most `damping` of what the last one changed, summed over hosts; so what is still to come is at
+    most damping / (1 - damping) of the last change. Rounds go on until that is below the tolerance, which bounds them by
+    log(tolerance * (1 - damping) / seeds) / log(damping), 111 for one seed.
+    """
     seeds = staged(
         rows.where("host <> ''")
         .groupBy("host")
@@ -80,7 +87,9 @@ def host_ranks(rows: DataFrame, pages: DataFrame, damping: float = DAMPING, roun
     taken = edges.groupBy("dst").agg(F.sum("w").alias("in"))
     shares = staged(edges.join(given, "src").join(taken, "dst").select("src", "dst", (F.col("w") / F.col("out")).alias("forth"), (F.col("w") / F.col("in")).alias("back")), "url-shares")
     ranks = seeds.select("host", F.col("s_trust").alias("trust"), F.col("s_distrust").alias("distrust"))
-    for _ in range(rounds):
+    mass = seeds.agg(F.sum(F.col("s_trust") + F.col("s_distrust"))).first()[0] or 0
+    bound = math.ceil(math.log(tolerance * (1 - damping) / mass) / math.log(damping)) if mass else 0
+    for _ in range(bound):
         forth = shares.join(ranks.where("trust > 0"), F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
         back = shares.join(ranks.where("distrust > 0"), F.col("dst") == F.col("host")).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
         begun = seeds.select("host", (F.col("s_trust") / damping).alias("t"), (F.col("s_distrust") / damping).alias("d"))
@@ -89,9 +98,9 @@ def host_ranks(rows: DataFrame, pages: DataFrame, damping: float = DAMPING, roun
         change = (F.abs(F.col("trust") - F.coalesce("t0", F.lit(0.0))) + F.abs(F.col("distrust") - F.coalesce("d0", F.lit(0.0)))).alias("change")
         both = now.join(ranks.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0")), "host", "left")
         after = staged(both.select("host", "trust", "distrust", change), "url-ranks")
-        most = after.agg(F.max("change")).first()[0]
+        moving = after.agg(F.sum("change")).first()[0] or 0
         ranks = after.drop("change")
-        if not most or most < 0.1**PLACES / 10:
+        if moving * damping / (1 - damping) < tolerance:
             break
     return ranks.select("host", F.round("trust", PLACES).alias("trust"), F.round("distrust", PLACES).alias("distrust"))
 
