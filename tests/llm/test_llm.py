@@ -332,6 +332,18 @@ def test_main_text_without_an_article_element():
     assert html_text.main_text(p) == f"{body} {body}"
 
 
+def test_main_text_inside_a_wrapper():
+    body = "This paragraph has quite a few words, so that it can only be the running text of the page, and it goes on for a while."
+    article = f"<article><h1>Title</h1><p>{body}</p><aside>Aside no</aside></article>"
+    for start, end in (("<form id=aspnetForm>", "</form>"), ("<div class='sidebar'>", "</div>"), ("<div class='no-sidebar'>", "</div>"), ("<div class='has-sidebar comments-open'>", "</div>"), ("<div>", "</div>")):
+        frame = "<nav><a href=x>Menu</a></nav><div class=ad>Buy this</div><footer>Legal words</footer>"
+        assert html_text.main_text(f"<body>{start}{article}{frame}{end}") == f"Title {body}"
+        assert html_text.main_text(f"<body>{start}<div><p>{body}</p><p>{body}</p></div>{frame}{end}") == f"{body} {body}"
+    # frames inside the article, and articles named as boilerplate inside a frame, are left out
+    assert html_text.main_text(f'<main><p>{body}</p><div class="comments"><article class="comment"><p>{body} no</p></article></div><form><p>{body[:40]} no</p></form></main>') == body
+    assert html_text.main_text(f'<article><p>{body}</p></article><div class="comments"><article class="comment"><p>{body} no</p></article></div>') == body
+
+
 def test_extract_text_of_nulls(spark):
     pages = spark.createDataFrame([(1, None, None, 3), (2, "u", "<article><p>x 😀", 4)], "page_id long, url string, html string, n_chars int")
     got = sorted((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract_text(pages).collect())

@@ -34,6 +34,8 @@ FRAME_WORDS = frozenset(
     "pagination pager footer masthead topbar toolbar widget widgets login search disclaimer alert complementary contentinfo skip copyright".split()
 )
 CONTENT_WORDS = frozenset("article content main post entry story body prose text".split())
+#: Per cent of a page's words beyond which a form, or an element named as boilerplate, is its wrapper.
+FORM_PERCENT, NAMED_PERCENT = 50, 90
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -100,17 +102,20 @@ def classify(features: tuple, tree=TREE) -> int:
 
 
 def _named(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role name boilerplate, and content."""
+    """Whether class, id or role name boilerplate, and content. A token names boilerplate when it consists of such words
+    (cookie-notice, not has-sidebar), and content when it holds such a word and none of boilerplate."""
     if "=" not in attributes:
         return False, False
-    words = {w for m in _NAMED.finditer(attributes) for w in _PARTS.findall((m[1] or m[2] or m[3] or "").lower())}
-    return not FRAME_WORDS.isdisjoint(words), not CONTENT_WORDS.isdisjoint(words)
+    tokens = [set(_PARTS.findall(x)) for m in _NAMED.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split()]
+    return any(t and t <= FRAME_WORDS for t in tokens), any(t & CONTENT_WORDS and not t & FRAME_WORDS for t in tokens)
 
 
 def blocks(page: str) -> list[tuple[str, bool, bool, bool, int, int]]:
     """(text, framed, article, heading, words, linked words) of the non-empty blocks in page order."""
-    out: list[tuple[str, bool, bool, bool, int, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block-level elements: name, framed, article
+    out: list[tuple[str, int, bool, bool, int, int]] = []  # the second is a frame until the page is read
+    stack: list[tuple[str, int, bool]] = []  # open block-level elements: name, innermost frame, article
+    # Frames: the one around, per cent of the page's words beyond which it is a wrapper, whether it holds an article.
+    frames: list[list] = [[0, 100, True]]  # the first is none
     parts: list[str] = []
     linked: list[str] = []
     in_link = False
@@ -121,11 +126,15 @@ def blocks(page: str) -> list[tuple[str, bool, bool, bool, int, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                framed, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append((text, framed, article, heading, len(text.split()), len(html.unescape(" ".join(linked)).split())))
+                frame, article = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+                out.append((text, frame, article, heading, len(text.split()), len(html.unescape(" ".join(linked)).split())))
             parts.clear()
             linked.clear()
 
+    def framing(around: int, percent: int) -> int:
+        frames.append([around, percent, False])
+        return len(frames) - 1
+
     while True:
         m = _TOKEN.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
@@ -163,12 +172,12 @@ def blocks(page: str) -> list[tuple[str, bool, bool, bool, int, int]]:
                         flush()
                     del stack[opened[-1] :]
             elif name not in VOID and not m[3].endswith("/"):
-                above = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                above = (stack[-1][1], stack[-1][2]) if stack else (0, False)
                 if opened:
                     stack.append((name, *above))
                 elif _named(m[3])[0]:
                     flush()
-                    stack.append((name, True, above[1]))
+                    stack.append((name, framing(above[0], NAMED_PERCENT), above[1]))
             continue
         flush()
         heading = not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit()
@@ -182,14 +191,38 @@ def blocks(page: str) -> list[tuple[str, bool, bool, bool, int, int]]:
             continue
         if name in SELF_CLOSING and stack and stack[-1][0] in SELF_CLOSING[name]:
             stack.pop()
-        framed, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        frame, article = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         by_name, content = _named(m[3])
         whole = name in ("html", "body")
-        inside_header = name == "header" and article
-        stack.append((name, framed or (by_name and not whole and name not in ARTICLE) or (name in FRAME and not inside_header), article or name in ARTICLE or (content and not by_name and not whole)))
+        if name in ARTICLE:
+            # The page's article is no part of what stands around it, but an article in an article, or one that is named
+            # as boilerplate and stands in it (such as a comment), is.
+            if not any(s[0] in ARTICLE for s in stack) and not (by_name and frame):
+                above, frame = frame, 0
+                while above:
+                    frames[above][2] = True
+                    above = frames[above][0]
+        elif name in FRAME and name != "form":
+            if name != "header" or not article or by_name:
+                frame = framing(frame, 100)
+        elif by_name and not whole:
+            frame = framing(frame, NAMED_PERCENT)
+        elif name == "form":
+            frame = framing(frame, FORM_PERCENT)
+        stack.append((name, frame, article or name in ARTICLE or (content and not by_name and not whole)))
         in_link = False
     flush()
-    return out
+    words = [0] * len(frames)
+    for _, frame, _, _, n, _ in out:
+        while frame:
+            words[frame] += n
+            frame = frames[frame][0]
+    total = sum(b[4] for b in out)
+    # A frame frames, unless it wraps the article or most of the page; so does one inside another that frames.
+    marks = [False]
+    for n, (around, percent, holds) in zip(words[1:], frames[1:], strict=True):
+        marks.append(marks[around] or percent == 100 or not (holds or 100 * n > percent * total))
+    return [(text, marks[frame], *rest) for text, frame, *rest in out]
 
 
 def main_text(page: str) -> str:
