@@ -4,9 +4,9 @@ Plan
 1. A narrow table (id, digest, length) of all rows is staged. Rows whose digest occurs once have no copy and need
    nothing more; their texts are never shuffled for comparison.
 2. The texts of rows with a shared digest go through three levels, each grouping on digest *and* whole normalised text:
-   the map-side partial aggregate drops copies inside a task, a salted aggregate merges each digest's copies in `salts`
-   independent groups, and a last aggregate combines the salt winners. A group with a third of all rows therefore
-   reaches the last level as at most `salts` rows.
+   the map-side partial aggregate drops copies inside a task, whose rows all have one salt; a salted aggregate merges each
+   digest's copies in `salts` independent groups, and a last aggregate combines the salt winners. A group with a third of
+   all rows therefore leaves each task as one row and reaches the last level as at most `salts` rows.
 3. Every row finds its group's winner by a join on the narrow table; the hot side of that join is one that adaptive
    execution can split.
 """
@@ -54,17 +54,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # Small sides are staged, so that both sides of their joins are plain shuffles and a hot digest's rows can be split.
     shared = staged(narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest"), "exact-dedup-shared")
-    repeated = narrow.join(shared, "digest", "left_semi").select(F.col("id").alias("rid"))
+    repeated = staged(narrow.join(shared, "digest", "left_semi").where("id is not null").select(F.col("id").alias("rid")).distinct(), "exact-dedup-repeated")
     texts = (
-        rows.join(repeated, F.col("id").eqNullSafe(F.col("rid")), "left_semi")
+        rows.join(repeated, F.col("id") == F.col("rid"), "left_semi")
+        .unionByName(rows.where("id is null"))  # as a join key, null would be a hot one
         .select("id", F.length("t").alias("n"), normalised(F.col("t")).alias("s"))
         .select(
-            F.sha2(F.col("s"), 256).alias("digest"), "s", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"), _rank("n", "id").alias("rank")
+            F.sha2(F.col("s"), 256).alias("digest"), "s", F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"), _rank("n", "id").alias("rank")
         )
     )
     salted = texts.groupBy("digest", "s", "salt").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("c"))
     groups = staged(
-        salted.groupBy("digest", "s").agg(F.max("rank").alias("top"), F.sum("c").alias("c")).select("digest", F.xxhash64("s").alias("mark"), "top", "c"),
+        salted.groupBy("digest", "s").agg(F.max("rank").alias("top"), F.sum("c").alias("c")).where("c > 1").select("digest", F.xxhash64("s").alias("mark"), "top", "c"),
         "exact-dedup-groups",
     )
     keep = F.expr(f"cast({TOP} - pmod(top, cast({SPAN} as decimal(20,0))) as bigint)")
