@@ -4,33 +4,63 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words in every contract of this subpackage (fixed values).
 SPACE = r"\x20\x09-\x0D"
+#: Lets Spark delete a query's shuffle files when it has ended, rather than at some later garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset (tests)."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a local session (tests) gets one of its own; on a
+    cluster that raises, since executors and driver share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-_STAGED: list[str] = []
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scope: ContextVar[list[str] | None] = ContextVar("staged tables", default=None)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete the tables that this process has staged. Call it when the results that read them are written; a session that
-    ends without it leaves them to the retention of the shared folder."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a result of staged(), which nothing may read any more."""
+    if path := _paths.pop(df, None):
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """At the end, delete what has been staged inside, but for tables whose name is in `keep`.
+
+    Whatever reads the other tables must be written by then. Without a scratch around it, a lazy result leaves its tables
+    to the retention of the shared folder. Scopes belong to a thread or task, so that concurrent jobs don't meet.
+    """
+    tables: list[str] = []
+    token = _scope.set(tables)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in tables:
+            if path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep:
+                _delete(spark, path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -40,10 +70,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what has been written
-    return spark.read.schema(df.schema).parquet(path)
+    if (tables := _scope.get()) is not None:
+        tables.append(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before or "false")
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import staged
+from textloom.llm.common import discard, staged
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node hands the smallest node it sees to its larger neighbours."""
+def _large_star(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Each node hands the smallest node it sees to its larger neighbours.
+
+    The smallest nodes are staged, so that both sides of the join are plain shuffles and adaptive execution can split the
+    rows of a hub.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-least")
+    return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), least
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +41,11 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         before = tuple(state)
         if not before[0]:
             break
-        edges = staged(_small_star(_large_star(edges)), name)
+        stars, least = _large_star(edges, name)
+        after = staged(_small_star(stars), name)
+        discard(edges)
+        discard(least)
+        edges = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
