@@ -12,7 +12,9 @@
    and verified. Pairs inside a component need no further look, so that large families of near copies cost about one
    comparison a member, and no link between components is lost.
 
-Verification compares whole sets of 64-bit shingle hashes. Nothing is capped.
+Frequent tokens are found in a sample of fixed size and only decide how rows are dealt: their rows are spread over salts,
+and what a token's rows need to know of each other (frequency, leader) reaches them from a partial aggregate. Every count
+covers all rows. Verification compares whole sets of 64-bit shingle hashes. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -25,12 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import staged, text_or_empty
+from textloom.llm.common import discard, staged, text_or_empty, unique_and_other
 from textloom.llm.components import components
 from textloom.llm.shingles import WordHashes, shingle_set
 
 #: Per cent of a set that the extended prefix holds beyond the plain prefix.
 EXTRA = 10
+#: Tokens that are looked at to find frequent ones, and how often a frequent one occurs among them; SAMPLE / OFTEN bounds
+#: the number of frequent tokens, which are broadcast.
+SAMPLE, OFTEN = 1_000_000, 20
 
 
 def _ceil(n: str, percent: int) -> str:
@@ -73,25 +78,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, n_shingles, component_id (smallest id reachable by links of Jaccard >= percent / 100).
+def _frequent(sets: DataFrame) -> DataFrame:
+    """(token, hot) of tokens that are frequent in a sample of the sets; at most SAMPLE / OFTEN rows for sets of common size."""
+    total = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    every = max(1, -(-total // SAMPLE))
+    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0) if every > 1 else sets
+    return staged(sample.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= OFTEN).select("token", F.lit(True).alias("hot")), "ngram-frequent")
 
-    Words are what stands between ASCII white space, A-Z lower-cased; a text of fewer than k words is one shingle; null,
-    empty and blank texts have none and link with nothing (their component is their own id). Rows that repeat an id are
-    one node, linked by any of their texts; a null id counts as the largest long. Ties can't arise. An empty table
-    gives an empty result. Every text is read whole.
-    """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), text_or_empty(text_col).cast("binary").alias("t"))
+
+def _dealt(rows: DataFrame, frequent: DataFrame, node: str) -> DataFrame:
+    """rows with `hot` and a salt that spreads the rows of frequent tokens."""
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        rows.join(F.broadcast(frequent), "token", "left")  # at most SAMPLE / OFTEN rows
+        .withColumn("hot", F.coalesce("hot", F.lit(False)))
+        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(node), F.lit(salts))).otherwise(0))
+    )
+
+
+def near_nodes(rows: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_components of a table whose ids are distinct longs."""
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("t"))
     made = staged(_sets(rows, k, percent, whole=False), "ngram-prefixes")
     classes = staged(
         made.where("n > 0").groupBy("digest", "n").agg(F.min(F.struct("id", "tokens")).alias("m")).select("digest", "n", F.col("m.id").alias("node"), F.col("m.tokens").alias("tokens")),
         "ngram-classes",
     )
-    by_token = Window.partitionBy("token")
+    by_token = Window.partitionBy("token", "salt")
     shared = (
-        classes.select("node", F.explode("tokens").alias("token"))
+        _dealt(classes.select("node", F.explode("tokens").alias("token")), _frequent(classes), "node")
         .withColumn("alone", F.min("node").over(by_token) == F.max("node").over(by_token))
-        .where("not alone")
+        .where("hot or not alone")
         .groupBy("node")
         .agg(F.count(F.lit(1)).alias("shared"))
     )
@@ -101,11 +118,15 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         _sets(rows.join(likely, F.col("id") == F.col("node"), "left_semi"), k, percent, whole=True).withColumnRenamed("id", "node").where("n > 0"), "ngram-sets"
     )
 
+    frequent = _frequent(sets)
+    tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
+    # How many sets hold a frequent token, from a partial aggregate.
+    counted = staged(tokens.join(F.broadcast(frequent), "token").groupBy("token").agg(F.count(F.lit(1)).alias("dfs"), F.lit(True).alias("hot")), "ngram-counted")
     by_node = Window.partitionBy("node", "n")
     plain = f"n - {_ceil('n', percent)}"  # a prefix has one token more
     prefix = staged(
-        sets.select("node", "n", F.explode("tokens").alias("token"))
-        .withColumn("df", F.count(F.lit(1)).over(by_token))
+        _dealt(tokens, counted, "node")
+        .withColumn("df", F.coalesce("dfs", F.count(F.lit(1)).over(by_token)))
         .where("df > 1")
         .withColumn("alone", F.col("n") - F.count(F.lit(1)).over(by_node))
         .withColumn("p", (F.row_number().over(by_node.orderBy("df", "token")) - 1 + F.col("alone")).cast("int"))
@@ -121,11 +142,10 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     members = staged(keyed.join(grouped, ["key", "n"]).select("node", "group", inner.alias("inner")), "ngram-members")
     postings = staged(prefix.join(members.where(F.col("node") == F.col("group")).select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "group"), "ngram-groups")
 
-    head = Window.partitionBy("token")
-    headed = staged(
-        postings.withColumn("lead", F.min(F.struct(F.col("p") / F.col("n"), "group", "n", "p")).over(head)).select("token", "group", "n", "p", F.col("lead.group").alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.p").alias("lp")),
-        "ngram-blocks",
-    )
+    # The leader of a token has least of its set before it.
+    lead = postings.groupBy("token").agg(F.min(F.struct(F.col("p") / F.col("n"), "group", "n", "p")).alias("lead"))
+    leaders = staged(lead.select("token", F.col("lead.group").alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.p").alias("lp")), "ngram-leaders")
+    headed = staged(postings.join(leaders, "token").select("token", "group", "n", "p", "lead", "ln", "lp"), "ngram-blocks")
 
     def passes(n1: str, p1: str, n2: str, p2: str):
         return F.expr(f"least({n1} - {p1}, {n2} - {p2}) * {100 + percent} >= {percent} * ({n1} + {n2}) and least({n1}, {n2}) * 100 >= {percent} * greatest({n1}, {n2})")
@@ -137,7 +157,8 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         .unionByName(members.where("inner and node <> group").select(F.col("node").alias("a"), F.col("group").alias("b")))
         .distinct()
     )
-    near = staged(components(staged(_verified(first, sets, percent), "ngram-links")), "ngram-near")
+    links = staged(_verified(first, sets, percent), "ngram-links")
+    near = staged(components(links), "ngram-near")
 
     placed = staged(members.join(near, "node", "left").select("node", "group", "inner", F.coalesce("component", "node").alias("c")), "ngram-placed")
     spans = placed.groupBy("group").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.bool_or("inner").alias("inner"))
@@ -161,6 +182,64 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     final = at.join(merged, "c", "left").select("node", F.coalesce("component", "c").alias("component"))
 
     named = staged(classes.select("digest", "n", "node").join(final, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component")), "ngram-named")
+    for table in (classes, likely, sets, frequent, counted, prefix, keyed, grouped, members, postings, leaders, headed, links, near, placed, spread, across):
+        discard(table)
     return made.select("id", "n", "digest").join(named, ["digest", "n"], "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """docs with `_row`, a distinct long of every row, and (_other, _id) of the rows whose number is not their id: those of
+    null and repeated ids, which are numbered behind the largest id. Where that leaves no room, all rows are numbered."""
+    unique, others = unique_and_other(docs, id_col, "ngram-ids")
+    last = unique.agg(F.max(id_col)).first()[0]
+    if last is not None and last >= 2**61:
+        unique, others = unique.limit(0), staged(docs.withColumn("_row", F.monotonically_increasing_id()), "ngram-numbered")
+        last = None
+    others = others.withColumn("_row", F.col("_row") + F.lit(0 if last is None else max(int(last) + 1, 0)))
+    rows = unique.withColumn("_row", F.col(id_col).cast("long")).unionByName(others)
+    return rows, others.select(F.col("_row").alias("_other"), F.col(id_col).cast("long").alias("_id"))
+
+
+def _with_ids(found: DataFrame, others: DataFrame) -> DataFrame:
+    """near_nodes of numbered rows with the id of each row (_id) and whether its number is another (_odd)."""
+    named = found.join(others, F.col("_row") == F.col("_other"), "left")
+    return named.select("_row", "n_shingles", "component_id", F.col("_other").isNotNull().alias("_odd"), F.when(F.col("_other").isNull(), F.col("_row")).otherwise(F.col("_id")).alias("_id"))
+
+
+def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: id, n_shingles, component_id (smallest id reachable by links of Jaccard >= percent / 100).
+
+    Words are what stands between ASCII white space, A-Z lower-cased; a text of fewer than k words is one shingle; null,
+    empty and blank texts have none and link with nothing (their component is their own id). Every row is a node of its
+    own: rows that repeat an id, or have none, link by their own text alone and keep their id; a component's id is null
+    where all its rows have a null id. Ties can't arise. An empty table gives an empty result; other columns are ignored
+    whatever their names. Every text is read whole.
+    """
+    rows, others = numbered(docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text")), "doc")
+    found = near_nodes(rows, k, percent, "_row", "text")
+    if others.isEmpty():
+        return found.withColumnRenamed("_row", id_col)
+    named = staged(_with_ids(found, others), "ngram-rows")
+    # A component's number is its smallest row; its smallest id may be another's where one of its rows is odd.
+    odd = named.where("_odd").select("component_id").distinct()
+    least = staged(named.join(odd, "component_id", "left_semi").groupBy("component_id").agg(F.min("_id").alias("least"), F.lit(True).alias("mixed")), "ngram-least")
+    number = F.when(F.col("mixed"), F.col("least")).otherwise(F.col("component_id"))
+    return named.join(least, "component_id", "left").select(F.col("_id").alias(id_col), "n_shingles", number.alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component the row of smallest id, null ids last.
+
+    Every row is a node of its own, as in near_components; of rows that share the smallest id any one stays. Rows without
+    words all stay. A column named `_row` is set aside and given back.
+    """
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    of = {n.lower(): f"c{i}" for i, n in enumerate(names)}
+    rows, others = numbered(plain, of[id_col.lower()])
+    found = _with_ids(near_nodes(rows, k, percent, "_row", of[text_col.lower()]), others)
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("m"))
+    stays = staged(first.select(F.col("m._row").alias("_stays")), "ngram-stays")
+    return rows.join(stays, F.col("_row") == F.col("_stays"), "left_semi").drop("_row").toDF(*names)
