@@ -5,10 +5,15 @@ Words of the templates are ordered by their document frequency in the whole corp
 words are counted, so that what the driver gathers is bounded by the templates). A template's prefix holds its rarest
 words, one more than it may lack; a block without any word of a prefix is never looked at again. The others go through
 a length filter and a positional filter before the exact comparison. Nothing is shuffled but the counts.
+
+`scan_windows` does the same with blocks over line breaks: windows of words, sized from each template, so that notices
+wrapped over several lines are met, and scattered words of a long line are not. Short templates must be met in full, since
+a single word often tells their licenses apart.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,12 +71,13 @@ def places_of(words: list[bytes], phrase: list[bytes]) -> list[int]:
 class Index:
     """Templates under one global word order, with their prefixes."""
 
-    def __init__(self, templates, frequency: dict[bytes, int], percent: int):
+    def __init__(self, templates, frequency: dict[bytes, int], percent: int, whole: int = 0):
         self.sets = [frozenset(t.encode().split()) for _, t in templates]
         self.labels = [label for label, _ in templates]
         vocabulary = sorted({w for s in self.sets for w in s}, key=lambda w: (frequency.get(w, 0), w))
         self.order = {w: i for i, w in enumerate(vocabulary)}
-        self.least = [-(-percent * len(s) // 100) for s in self.sets]
+        #: Templates of at most `whole` distinct words must be met in full.
+        self.least = [len(s) if len(s) <= whole else -(-percent * len(s) // 100) for s in self.sets]
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for t, s in enumerate(self.sets):
             ordered = sorted(s, key=self.order.__getitem__)
@@ -95,6 +101,37 @@ class Index:
                     out.append((t, common / len(self.sets[t])))
         return out
 
+    def windows(self, words: list[bytes], sizes: list[int]) -> list[tuple[int, int, int, float]]:
+        """(template, start, end, largest share) of the places where windows of sizes[template] words, each begun by a word
+        of the template, meet it; windows that overlap or touch are one place. A window that meets a template holds a word
+        of its prefix, so that only what is near those is looked at."""
+        near: dict[int, list[int]] = {}
+        for at, w in enumerate(words):
+            for t, _ in self.prefix.get(w, ()):
+                near.setdefault(t, []).append(at)
+        out = []
+        for t, hits in near.items():
+            of, size, least = self.sets[t], sizes[t], self.least[t]
+            starts, last = [], -1
+            for hit in hits:
+                for at in range(max(last + 1, hit - size + 1), hit + 1):
+                    if words[at] in of:
+                        starts.append(at)
+                last = hit
+            for start in starts:
+                window = words[start : start + size]
+                if bisect_left(hits, start) == bisect_left(hits, start + size):
+                    continue
+                common = len(of.intersection(window))
+                if common < least:
+                    continue
+                if out and out[-1][0] == t and start <= out[-1][2]:
+                    _, first, _, share = out.pop()
+                    out.append((t, first, start + len(window), max(share, common / len(of))))
+                else:
+                    out.append((t, start, start + len(window), common / len(of)))
+        return out
+
 
 def word_frequency(docs: DataFrame, words: frozenset[bytes], text_col: str = "text") -> dict[bytes, int]:
     """In how many documents each of the words stands."""
@@ -153,3 +190,37 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(run, SCHEMA).withColumnRenamed("id", id_col)
+
+
+#: A window holds this per cent of a template's words in number; templates up to so many distinct words are met in full.
+STRETCH, WHOLE = 120, 10
+WINDOWS = "id long, n_words long, labels string, n_places long, score double, places array<struct<label:string,start:long,end:long,share:double>>"
+
+
+def scan_windows(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT, stretch: int = STRETCH, whole: int = WHOLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_words, labels (distinct, sorted, comma-joined), n_places, score (largest share, 0 without a place) and
+    the places where a template is met: label, first word, word after the last, share.
+
+    Words run on over line breaks. Null and empty texts have no words and no places; repeated rows are scanned each; an
+    empty table gives an empty result; other columns are ignored. Texts are read whole; the work is linear in a text but
+    for the windows around words of a prefix.
+    """
+    vocabulary = frozenset(w for _, t in templates for w in t.encode().split())
+    index = Index(templates, word_frequency(docs, vocabulary, text_col), percent, whole)
+    sizes = [-(-stretch * len(t.split()) // 100) for _, t in templates]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["n_words", "labels", "n_places", "score", "places"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))]
+        for batch in batches:
+            rows = []
+            for t in batch.column(1):
+                words = t.as_buffer().to_pybytes().translate(_WORDS).split()
+                found = [] if index.prefix.keys().isdisjoint(words) else sorted(index.windows(words, sizes), key=lambda x: (x[1], x[2], x[0]))
+                places = [{"label": index.labels[t], "start": a, "end": b, "share": share} for t, a, b, share in found]
+                rows.append((len(words), ",".join(sorted({p["label"] for p in places})), len(places), max((p["share"] for p in places), default=0.0), places))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", *names])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("t"))
+    return rows.mapInArrow(run, WINDOWS).withColumnRenamed("id", id_col)

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import oracle
-from textloom.llm.chat_pairs import format_preferences, swapped_answers
+from textloom.llm.chat_pairs import format_preferences, records, swapped_answers
 from textloom.llm.exact_dedup import exact_dedup
 from textloom.llm.fingerprints import compare_with_next
 from textloom.llm.html_text import extract_text
-from textloom.llm.license_scan import scan_licenses
+from textloom.llm.license_scan import scan_licenses, scan_windows
 from textloom.llm.mixing import taken_words
 from textloom.llm.ngram_join import near_components
 from textloom.llm.packing import pack
@@ -62,6 +62,15 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_windows(table(spark, sf_dir, "documents"))
+
+
+def preference_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of op9, one row each."""
+    return records(op9_preference_format(spark, sf_dir), "conv_id")
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +79,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_url_filter, op2_license_scan, op3_length_packing, op4_ngram_jaccard, op5_source_mix, op6_html_text, op7_exact_dedup, op8_quality_gam, op9_preference_format, op10_fingerprint)
-    return {f.__name__: f for f in ops} | {"pipeline": _pipeline}
+    return {f.__name__: f for f in (*ops, license_windows, preference_records)} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
