@@ -76,3 +76,23 @@ def test_staged_tables_are_deleted(spark):
     assert kept.count() == 5 and len(set(os.listdir(folder)) - before) == 1
     discard(kept)
     assert set(os.listdir(folder)) == before
+
+
+def test_a_family_around_the_threshold_in_rounds(spark, monkeypatch):
+    import random
+
+    from tests.llm.test_llm import brute_components
+
+    rng = random.Random(3)
+    base, texts = words("f", 60).split(), []
+    for _ in range(70):
+        copy = list(base)
+        for _ in range(rng.randint(0, 2)):
+            copy[rng.randrange(60)] = rng.choice("xyz")
+        texts.append(" ".join(copy))
+    pairs = []
+    verified = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda p, sets, percent: pairs.append(1) or verified(p, sets, percent))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_components(docs_of(spark, list(enumerate(texts))), 4, 85).collect()}
+    assert got == dict(enumerate(brute_components(texts, 4, 85)[1]))
+    assert len(pairs) == 1 + len(ngram_join.ROUNDS)

@@ -9,7 +9,8 @@
    groups meet on prefix tokens under length and positional filters.
 4. First every group meets the leading group of each of its tokens, and every class its group's node; verified links
    give components. Then all pairs that passed the filters *and lie in different components* are expanded to classes
-   and verified. Pairs inside a component need no further look, so that large families of near copies cost about one
+   and verified: where that would be many pairs for the classes at hand, first a sixteenth of them, then a quarter of
+   those that still lie in different components, then the rest, so that a family linked in many ways soon is one. Pairs inside a component need no further look, so that large families of near copies cost about one
    comparison a member, and no link between components is lost.
 
 Frequent tokens are found in a sample of fixed size and only decide how rows are dealt: their rows are spread over salts,
@@ -33,6 +34,8 @@ from textloom.llm.shingles import WordHashes, shingle_set
 
 #: Per cent of a set that the extended prefix holds beyond the plain prefix.
 EXTRA = 10
+#: Rounds of the last step: one pair in so many is verified. The first are left out where pairs are few.
+ROUNDS = (16, 4, 1)
 #: Tokens that are looked at to find frequent ones, and how often a frequent one occurs among them; SAMPLE / OFTEN bounds
 #: the number of frequent tokens, which are broadcast.
 SAMPLE, OFTEN = 1_000_000, 20
@@ -166,23 +169,38 @@ def near_nodes(rows: DataFrame, k: int, percent: int, id_col: str = "doc_id", te
     spread = staged(headed.join(spans.drop("inner"), "group").join(lead_c, "lead").select("token", "group", "n", "p", "low", "high", "main"), "ngram-spread")
     odd = spread.where("low <> main or high <> main").select("token", F.col("group").alias("g1"), F.col("n").alias("n1"), F.col("p").alias("p1"), F.col("low").alias("l1"), F.col("high").alias("h1"))
     any_ = spread.select("token", F.col("group").alias("g2"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-    meet = (
+    met = (
         odd.join(any_, (odd.token == any_.token) & (F.col("g1") != F.col("g2")) & passes("n1", "p1", "n2", "p2") & ((F.col("l1") != F.col("l2")) | (F.col("h1") != F.col("h2")) | (F.col("l1") != F.col("h1"))))
         .select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"))
         .unionByName(spans.where("inner and low <> high").select(F.col("group").alias("g1"), F.col("group").alias("g2")))
         .distinct()
     )
-    one = placed.select(F.col("group").alias("g1"), F.col("node").alias("a"), F.col("c").alias("ca"))
-    two = placed.select(F.col("group").alias("g2"), F.col("node").alias("b"), F.col("c").alias("cb"))
-    second = meet.join(one, "g1").join(two, "g2").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = staged(_verified(second, sets, percent), "ngram-across")
-    at = placed.select("node", "c").distinct()
-    bridges = across.join(at.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(at.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
-    merged = components(bridges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "c")
-    final = at.join(merged, "c", "left").select("node", F.coalesce("component", "c").alias("component"))
+    # The smaller group of a pair comes first: its members are the ones that are listed for each pair.
+    sizes = placed.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    sized = met.join(sizes.toDF("g1", "s1"), "g1").join(sizes.toDF("g2", "s2"), "g2")
+    meet = staged(sized.select(F.when(F.col("s1") <= F.col("s2"), F.col("g1")).otherwise(F.col("g2")).alias("g1"), F.when(F.col("s1") <= F.col("s2"), F.col("g2")).otherwise(F.col("g1")).alias("g2"), (F.col("s1") * F.col("s2")).alias("pairs")), "ngram-meet")
+    many = meet.agg(F.sum("pairs")).first()[0] or 0
+    was = staged(placed.select("node", "c").distinct(), "ngram-was")
+    at, found = was, None
+    for one_in in ROUNDS if many > 4 * placed.count() else ROUNDS[-1:]:
+        now = placed.select("node", "group").join(at, "node")
+        share = F.pmod(F.xxhash64("node"), F.lit(one_in)).alias("share")
+        one = now.select(F.col("group").alias("g1"), F.col("node").alias("a"), F.col("c").alias("ca"), share)
+        two = now.select(F.col("group").alias("g2"), F.col("node").alias("b"), F.col("c").alias("cb"), share)
+        if found is not None:  # groups that lie in one component together need no further look
+            spans = now.groupBy("group").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+            apart = meet.join(spans.toDF("g1", "l1", "h1"), "g1").join(spans.toDF("g2", "l2", "h2"), "g2").where("l1 <> h1 or l2 <> h2 or l1 <> l2")
+            meet = staged(apart.select("g1", "g2"), "ngram-meet")
+        last = meet.join(one, "g1").join(two, ["g2", "share"]).where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        across = staged(_verified(last, sets, percent), "ngram-across")
+        found = across if found is None else found.unionByName(across)
+        bridges = found.join(was.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(was.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
+        merged = components(bridges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "c")
+        at = staged(was.join(merged, "c", "left").select("node", F.coalesce("component", "c").alias("c")), "ngram-at")
+    final = at.withColumnRenamed("c", "component")
 
     named = staged(classes.select("digest", "n", "node").join(final, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component")), "ngram-named")
-    for table in (classes, likely, sets, frequent, counted, prefix, keyed, grouped, members, postings, leaders, headed, links, near, placed, spread, across):
+    for table in (classes, likely, sets, frequent, counted, prefix, keyed, grouped, members, postings, leaders, headed, links, near, placed, spread, meet, was):
         discard(table)
     return made.select("id", "n", "digest").join(named, ["digest", "n"], "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
