@@ -367,3 +367,30 @@ def test_morphology(spark):
     assert one(spark, "dog", lambda c: morphology.gloss_of(c, F.lit("The DOGS run"), F.lit("the dog.PL run"))) == "dog.PL"
     assert one(spark, "dog", lambda c: morphology.gloss_of(c, F.lit("dog"), F.lit(""))) == ""
     assert one(spark, "dog.PL=x", morphology.base_of) == "dog"
+
+
+def test_collapse_takes_in_a_section_of_the_same_level(spark):
+    rows = [("A", 1.0), ("B", 1.0), ("body", 10.0), ("C", 1.0), ("D", 2.0), ("x", 10.0)]
+    found = layout.sections(book(spark, rows), F.when(F.col("size") < 5, F.col("size").cast("int")))
+    got = sorted((r.section, r.heading, r.level, r.text) for r in layout.collapse_empty(found).collect())
+    assert got == [(1, "A B", 1, "body"), (3, "C", 1, ""), (4, "D", 2, "x")]
+
+
+def test_merged_gaps_join_in_order_of_sight_below_the_width():
+    assert layout.merged_gaps([12, 12.5, 12]) == (12.5, 12)
+    assert layout.merged_gaps([12.4, 12, 12.6, 5, 5, 5]) == (12.4, 5)
+
+
+def test_visual_lines_and_most_common(spark):
+    rows = [(1, 0, 9.0, 0.0, 10.0, "f", 8.0, "b"), (1, 1, 1.0, 3.9, 14.0, "f", 8.0, "a"), (1, 2, 5.0, 8.0, 18.0, "g", 9.0, "long word"), (1, 3, 6.0, 8.5, 18.0, "f", 8.0, " ")]
+    spans = spark.createDataFrame(rows, "page long, i long, x0 double, y0 double, y1 double, font string, size double, text string")
+    got = layout.visual_lines(spans, ["page"], "i").orderBy("line").collect()
+    assert [(r.n, r.text, r.x0, r.common_size) for r in got] == [(2, "a b", 1.0, 8.0), (2, "long word", 5.0, 9.0)]
+    assert layout.most_common(spans, ["page"], "font", "i").first().font == "f"
+
+
+def test_fallback_answers_keep_translations_and_guard_sources():
+    long = "the river should flow because " * 5
+    assert responses.final_answer(f"Final output: s t\ntranslation: {long}") == ("s t", long.strip())
+    assert responses.final_answer(f"source: {long}\nresult: u") == ("u", "")
+    assert responses.final_answer("source: the original sentence\nfinal fragment: v") == ("v", "")

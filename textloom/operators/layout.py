@@ -62,30 +62,46 @@ def sections(lines: DataFrame, level: Column, is_body: Column | None = None) ->
     )
 
 
-def _collapse(book: pd.DataFrame) -> pd.DataFrame:
-    rows = book.sort_values("section").to_dict("records")
-    out, i = [], 0
-    while i < len(rows):
-        row = dict(rows[i])
-        i += 1
-        if not row["text"].strip():
-            joined = False
-            while i < len(rows) and not rows[i]["text"].strip() and rows[i]["level"] == row["level"]:
-                row["heading"] = f"{row['heading']} {rows[i]['heading']}".strip()
-                joined, i = True, i + 1
-            if joined and i < len(rows) and rows[i]["text"].strip():
-                row["heading"], row["text"] = f"{row['heading']} {rows[i]['heading']}".strip(), rows[i]["text"]
-                i += 1
-        out.append(row)
-    return pd.DataFrame(out, columns=book.columns)
-
-
 def collapse_empty(found: DataFrame) -> DataFrame:
-    """Runs of empty sections of one level become one, which takes in the next section with text whatever its level.
-
-    Section numbers keep their gaps. The fold runs book by book, on headings and texts of one book.
+    """Runs of empty sections of one level become one, which takes in the section with text that follows: after two or more
+    empty ones whatever its level, after a single one if it is of the same level. Section numbers keep their gaps."""
+    w = Window.partitionBy("book").orderBy("section")
+    empty = strip(F.coalesce("text", F.lit(""))) == ""
+    rows = found.withColumn("_empty", empty).withColumns({"_after": F.coalesce(F.lag("_empty").over(w), F.lit(False)), "_level": F.lag("level").over(w)})
+    goes_on = F.col("_empty") & F.col("_after") & F.col("level").eqNullSafe(F.col("_level"))
+    rows = rows.withColumn("_run", F.sum((~goes_on).cast("int")).over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("book", "_run")))
+    taken = ~F.col("_empty") & F.col("_after") & ((F.lag("_n").over(w) >= 2) | F.col("level").eqNullSafe(F.col("_level")))
+    rows = rows.withColumn("_starts", (~goes_on & ~taken).cast("int")).withColumn("_group", F.sum("_starts").over(w))
+    headings = F.array_sort(F.collect_list(F.struct("section", F.coalesce("heading", F.lit("")).alias("h"))))
+    return rows.groupBy("book", "_group").agg(
+        F.min("section").alias("section"),
+        F.when(F.count(F.lit(1)) == 1, F.max("heading")).otherwise(F.array_join(F.transform(headings, lambda x: x["h"]), " ")).alias("heading"),
+        F.min_by("level", "section").alias("level"),
+        F.max_by("text", "section").alias("text"),
+    ).select(*found.columns)
+
+
+def visual_lines(spans: DataFrame, keys: Sequence[str], order: str, share: float = 0.4) -> DataFrame:
+    """keys, line, n, text, x0, common_size of the lines that spans (x0, y0, y1, font, size, text) form on each page.
+
+    By height, a span within `share` of the page's median span height of the one before is on its line. Texts are joined
+    from left to right; the common size is that of the font and size with most code points, the leftmost of equals.
     """
-    return found.groupBy("book").applyInPandas(_collapse, found.schema)
+    w = Window.partitionBy(*keys).orderBy("y0", order)
+    reach = F.percentile(F.col("y1") - F.col("y0"), F.lit(0.5)).over(Window.partitionBy(*keys)) * share
+    near = F.coalesce(F.abs(F.col("y0") - F.lag("y0").over(w)) < F.col("_reach"), F.lit(False))
+    lined = spans.withColumn("_reach", reach).withColumn("_starts", (~near).cast("int")).withColumn("line", F.sum("_starts").over(w).cast("long"))
+    fonts = lined.groupBy(*keys, "line", "font", "size").agg(F.sum(F.length("text")).alias("c"), F.min(F.struct("x0", order)).alias("f"))
+    common = fonts.groupBy(*keys, "line").agg(F.min_by("size", F.struct(-F.col("c"), "f")).alias("common_size"))
+    pieces = F.array_sort(F.collect_list(F.when(strip(F.col("text")) != "", F.struct("x0", order, "text"))))
+    texts = lined.groupBy(*keys, "line").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(pieces, lambda x: x["text"]), " ").alias("text"), F.min("x0").alias("x0"))
+    return texts.join(common, [*keys, "line"])
+
+
+def most_common(rows: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
+    """keys and the value that most of their rows have, the first of equals (then the smallest)."""
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("f"))
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), "f", value)).alias(value))
 
 
 def gap_clusters(spans: DataFrame, keys: Sequence[str], position: str, tie: str, share: float = 0.4) -> DataFrame:
@@ -106,30 +122,28 @@ def column_positions(spans: DataFrame, keys: Sequence[str], x: str, order: str,
 
 
 def merged_gaps(gaps: list[float], width: float = 0.5, top: int = 2) -> tuple[float | None, float | None]:
-    """(normal, continuation) line height of the gaps of a page: values within `width` of a group's running key join it,
-    the two largest groups count; one group alone gives half its value as continuation, none gives nulls."""
+    """(normal, continuation) line height of a page's gaps: a value less than `width` from a group's first value joins it, in
+    order of first sight; the two largest groups count, the first of equals. One group alone gives half its value as
+    continuation, none gives nulls."""
     counts: dict[float, int] = {}
     for g in gaps:
         counts[round(g, 2)] = counts.get(round(g, 2), 0) + 1
-    groups: list[list[float]] = []
-    for value in sorted(counts):
-        near = next((g for g in groups if abs(g[0] - value) <= width), None)
-        if near:
-            near[1] += counts[value]
-        else:
-            groups.append([value, counts[value]])
-    best = [g[0] for g in sorted(groups, key=lambda g: -g[1])[:top]]
+    groups: dict[float, int] = {}
+    for value, n in counts.items():
+        near = next((g for g in groups if abs(g - value) < width), value)
+        groups[near] = groups.get(near, 0) + n
+    best = sorted(groups, key=lambda g: -groups[g])[:top]
     if not best:
         return None, None
     return (max(best), min(best)) if len(best) > 1 else (best[0], best[0] * 0.5)
 
 
 def line_heights(spans: DataFrame, key: str, y: str, order: str) -> DataFrame:
-    """merged_gaps of the distances between consecutive positions of each key."""
+    """merged_gaps of the distances between the distinct positions of each key, in ascending order."""
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
-        at = page.sort_values(order)[y].tolist()
-        normal, more = merged_gaps([b - a for a, b in zip(at, at[1:], strict=False) if b > a])
+        at = sorted(page[y].dropna().unique().tolist())
+        normal, more = merged_gaps([b - a for a, b in zip(at, at[1:], strict=False)])
         return pd.DataFrame([(page[key].iloc[0], normal, more)], columns=[key, "normal", "continuation"])
 
     kind = dict(spans.dtypes)[key]

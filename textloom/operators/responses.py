@@ -13,11 +13,12 @@ try:
 except ImportError:  # a flat subset is parsed without it
     yaml = None
 
-#: Lead words of the two answers in order of preference (fixed values).
-SOURCE_KEYS = ("final_sentence", "final sentence", "source")
+#: Words that lead the two answers (fixed values).
+SOURCE_KEYS = ("final_sentence", "final sentence", "final output", "source", "sentence", "final fragment", "result")
 TRANSLATION_KEYS = ("english_translation", "english translation", "translation")
-#: Words of reasoning; a value with one of them and twenty words or more is no answer (fixed values).
-REASONING = ("the", "this", "should", "because", "rule", "sentence")
+#: Words of reasoning; a source with one of them and twenty words or more is no answer. The second line is our own.
+REASONING = ("modifies", "modifying", "context", "clitic", "inflection", "replace") + (
+    "the", "this", "should", "because", "rule", "sentence")
 
 
 def response_text(kind: str, c: str) -> Column:
@@ -37,22 +38,26 @@ def _flat(block: str) -> dict | None:
     return {k.strip(): v.strip().strip("\"'") for k, v in pairs} or None
 
 
-def _guarded(value: str) -> str:
-    value = re.sub(r"\*\*|Rule #\d+|\[[^\]]*\]", "", value).strip().strip("\"'").strip()
+def _cleaned(value: str) -> str:
+    return re.sub(r"\*\*|Rule #\d+|\[[^\]]*\]", "", value).strip().strip("\"'`*").strip()
+
+
+def _is_reasoning(value: str) -> bool:
     words = value.lower().split()
-    return "" if len(words) >= 20 and any(w in words for w in REASONING) else value
+    return "original sentence" in value.lower() or (len(words) >= 20 and any(w in words for w in REASONING))
 
 
-def _after(rows: list[str], keys: tuple[str, ...]) -> str:
-    for key in keys:
-        for i, line in enumerate(rows):
-            low = line.lower()
+def _after(rows: list[str], keys: tuple[str, ...], guarded: bool) -> str:
+    """The value of the first line that names a key and gives one: after its colon or star, or on the next line."""
+    for i, line in enumerate(rows):
+        low = line.lower()
+        for key in keys:
             if key in low:
-                rest = line[low.index(key) + len(key) :]
-                value = _guarded(re.split(r"[:*]", rest, maxsplit=1)[1] if re.search(r"[:*]", rest) else "")
-                if not value and i + 1 < len(rows):
-                    value = _guarded(rows[i + 1])
-                if value:
+                rest = re.split(r"[:*]", line[low.index(key) + len(key) :], maxsplit=1)
+                value = _cleaned(rest[1]) if len(rest) > 1 else ""
+                if len(rest) > 1 and not value and i + 1 < len(rows):
+                    value = _cleaned(rows[i + 1])
+                if value and not (guarded and _is_reasoning(value)):
                     return value
     return ""
 
@@ -69,7 +74,7 @@ def final_answer(text: str | None) -> tuple[str, str]:
             if s or t:
                 return s.strip(), t.strip()
     rows = [x.strip() for x in (text or "").splitlines() if x.strip() and not x.strip().startswith("```")]
-    return _after(rows, SOURCE_KEYS), _after(rows, TRANSLATION_KEYS)
+    return _after(rows, SOURCE_KEYS, True), _after(rows, TRANSLATION_KEYS, False)
 
 
 def final_answers(responses: DataFrame, text: str = "text") -> DataFrame:

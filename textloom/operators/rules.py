@@ -60,7 +60,7 @@ def merge_rules(rules: DataFrame, keys: Sequence[str] = ("target_pos", "morpheme
 
 def target_pos(kind: str, c: Column) -> Column:
     """A list becomes its sorted members joined by commas, a string stays."""
-    return F.array_join(F.array_sort(c), ", ") if kind.startswith("array") else c
+    return F.array_join(F.array_sort(c), ",") if kind.startswith("array") else c
 
 
 def codify(rules: DataFrame, results: DataFrame, key: str = "rule_id", columns: Sequence[str] = ("description",), added: str = "lrl_code") -> DataFrame:

@@ -83,8 +83,13 @@ def _cosine(a: str, b: str) -> str:
 
 SCORED = f"""scored AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, q.label AS query_label, i.label AS label, {_cosine("q.embedding", "i.embedding")} AS sim
   FROM embeddings q JOIN embeddings i ON q.vec_id % 50 = 0)"""
-PHRASES = r"""phrases AS (SELECT DISTINCT regexp_replace(lower(w), '[^\pL\pN_\s]', '', 'g') AS word FROM (
-  SELECT unnest([w[1], array_to_string(w[1:2], ' ')]) AS w FROM (SELECT regexp_extract_all(text, '\S+') AS w FROM benchmark)))"""
+ITEM_WORDS = r"""words AS (SELECT DISTINCT word FROM (SELECT regexp_replace(lower(unnest(regexp_extract_all(text, '\S+'))), '[^\pL\pN_\s]', '', 'g') AS word FROM benchmark) WHERE word <> '')"""
+SPANS = """spans AS (SELECT l_orderkey, l_linenumber AS i, l_extendedprice AS x0, l_quantity AS y0, l_linenumber AS height, l_returnflag AS font, l_tax AS size, l_returnflag || l_linestatus AS text FROM lineitem)"""
+PIPED = """piped AS (SELECT p_partkey, p_size, p_brand, p_name, p_type FROM part),
+middle AS (SELECT p_partkey, unnest([p_name, p_type, p_brand]) AS s, unnest([1, 2, 3]) AS k FROM piped),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY length(s) // 4, k) AS r FROM middle),
+short AS (SELECT p_partkey, string_agg(s, ' | ' ORDER BY r) AS m FROM ranked WHERE r <= 2 GROUP BY p_partkey),
+trimmed AS (SELECT p.p_partkey, p_size, p_brand, p_brand || m || p_type AS text FROM piped p JOIN short ON short.p_partkey = p.p_partkey)"""
 
 
 def _gloss_sql() -> str:
@@ -112,6 +117,35 @@ def oracle_sql() -> dict[str, str]:
         "heading_sizes": f"""WITH {LINES}, h AS (SELECT size, count(*) AS occurrences, cast(sum(length(text)) AS bigint) AS total_chars FROM lines GROUP BY size)
 SELECT row_number() OVER (ORDER BY size DESC) AS level, * FROM h WHERE size > 20.5 AND total_chars >= 50 AND occurrences >= 2 ORDER BY size DESC LIMIT 4""",
         "sections": f"WITH {LINES}, {SECTIONS} SELECT * FROM sections",
+        "sections_collapsed": f"""WITH {LINES}, {SECTIONS},
+a AS (SELECT *, trim(text) = '' AS e, lag(level) OVER w AS pl, lag(trim(text) = '', 1, false) OVER w AS pe FROM sections WINDOW w AS (PARTITION BY book ORDER BY section)),
+b AS (SELECT *, e AND pe AND level = pl AS goes_on FROM a),
+c AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY book ORDER BY section) AS run FROM b),
+f AS (SELECT *, count(*) OVER (PARTITION BY book, run) AS m FROM c),
+g AS (SELECT *, NOT e AND pe AND (lag(m) OVER (PARTITION BY book ORDER BY section) >= 2 OR level = pl) AS taken FROM f),
+h AS (SELECT *, sum(CASE WHEN goes_on OR taken THEN 0 ELSE 1 END) OVER (PARTITION BY book ORDER BY section) AS grp FROM g)
+SELECT book, min(section) AS section, string_agg(coalesce(heading, ''), ' ' ORDER BY section) AS heading, arg_min(level, section) AS level, arg_max(text, section) AS text FROM h GROUP BY book, grp""",
+        "visual_lines": f"""WITH {SPANS}, t AS (SELECT l_orderkey, 0.4 * quantile_cont(height, 0.5) AS reach FROM spans GROUP BY 1),
+a AS (SELECT s.*, coalesce(abs(y0 - lag(y0) OVER w) < reach, false) AS near FROM spans s JOIN t ON t.l_orderkey = s.l_orderkey WINDOW w AS (PARTITION BY s.l_orderkey ORDER BY y0, i)),
+b AS (SELECT *, cast(sum(CASE WHEN near THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY y0, i) AS bigint) AS line FROM a),
+f AS (SELECT l_orderkey, line, font, size, sum(length(text)) AS c, min((x0, i)) AS f FROM b GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, line ORDER BY c DESC, f) AS k FROM f)
+SELECT b.l_orderkey, b.line, count(*) AS n, string_agg(text, ' ' ORDER BY x0, i) AS text, min(x0) AS x0, any_value(r.size) AS common_size FROM b JOIN r ON r.l_orderkey = b.l_orderkey AND r.line = b.line AND r.k = 1 GROUP BY 1, 2""",
+        "common_size": f"""WITH {SPANS}, c AS (SELECT l_orderkey, size, row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, min(i), size) AS k FROM spans GROUP BY 1, 2) SELECT l_orderkey, size FROM c WHERE k = 1""",
+        "quantised_heights": "SELECT l_orderkey, cast(l_linenumber AS bigint) AS i, round_even(l_quantity / 2, 0) * 2 AS row FROM lineitem",
+        "continuation_rows": "SELECT user_id, event_id, coalesce(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) - 1.0) < 0.5, false) AS continuation FROM events",
+        "rules_kept": f"SELECT doc_id, lang FROM documents WHERE text IS NOT NULL AND {_strip('text')} <> '' AND NOT contains(lower(text), 'no applicable rule found') AND NOT contains(lower(text), 'no valid rules')",
+        "first_items": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem WHERE l_quantity > 10)
+SELECT o_orderkey, coalesce(l_returnflag, 'Unknown') AS l_returnflag, coalesce(l_linestatus, 'Unknown') AS l_linestatus FROM orders LEFT JOIN r ON l_orderkey = o_orderkey AND k = 1""",
+        "sections_by_page": f"""WITH {LINES}, {SECTIONS}, p AS (SELECT coalesce(cast(CASE WHEN level > 1 THEN book % 17 END AS varchar), 'Unknown') AS page, book, section, coalesce(heading, '') AS h FROM sections)
+SELECT page, count(*) AS n, string_agg(h, '|' ORDER BY book, section) AS headings FROM p GROUP BY page""",
+        "usable_sections": f"WITH {LINES}, {SECTIONS} SELECT book, section FROM sections WHERE length(text) >= 10",
+        "bullet_lists": "SELECT conv_id, string_agg('- ' || text, chr(10) ORDER BY turn) AS bullets FROM conversations WHERE text IS NOT NULL GROUP BY conv_id",
+        "trimmed_examples": f"WITH {PIPED} SELECT p_partkey, text FROM trimmed",
+        "best_paragraphs": f"""WITH {PIPED}, s AS (SELECT *, length(text) // 4 AS n FROM trimmed WHERE length(text) // 4 <= 14),
+b AS (SELECT p_brand, p_size, text, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY n, p_partkey) AS k FROM s),
+f AS (SELECT p_brand, text, min(p_size) AS r FROM b WHERE k = 1 GROUP BY 1, 2), o AS (SELECT p_brand, text, row_number() OVER (PARTITION BY p_brand ORDER BY r, text) AS rank FROM f)
+SELECT p_brand, rank, text FROM o WHERE rank <= 3""",
         "gap_clusters": """WITH s AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS y FROM events),
 g AS (SELECT *, y - lag(y) OVER (PARTITION BY user_id ORDER BY y, event_id) AS gap FROM s),
 m AS (SELECT user_id, quantile_cont(gap, 0.5) AS mid FROM g GROUP BY user_id)
@@ -142,7 +176,7 @@ u AS (SELECT *, 2 * len(list_filter(p, lambda x: lower(x) IN ({abbreviations}) O
 v AS (SELECT *, len(list_filter(s, lambda x: x IN ({english}))) / greatest(len(s), 1) AS e FROM u)
 SELECT book, line_no, CASE WHEN len(p) = 0 THEN 'reject' WHEN g > 0.10 THEN 'IGT' WHEN length(bare) >= 20 AND e >= 0.2 THEN 'English' WHEN length(bare) >= 40 AND e >= 0.15 THEN 'English' ELSE 'unknown' END AS kind FROM v""",
         "distinct_on_text": "WITH d AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) SELECT source, count(*) AS n, cast(sum(doc_id) AS bigint) AS ids FROM d WHERE r = 1 GROUP BY source",
-        "canonical_merge": """WITH j AS (SELECT d.doc_id AS ord, lang, source, quality, toxic, substr(text, 1, 12) AS description, substr(text, 1, 3) AS trig, CASE WHEN n_chars > 500 THEN substr(text, 1, 8) ELSE 'N/A' END AS ctx, n_chars
+        "rule_merge": """WITH j AS (SELECT d.doc_id AS ord, lang, source, quality, toxic, 'n' || (n_chars % 9) AS description, lang || '-n' || (n_chars % 9) AS trig, CASE WHEN n_chars > 500 THEN 'n' || (n_chars % 9) ELSE 'N/A' END AS ctx, n_chars
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
 SELECT lang AS target_pos, source AS morpheme, quality AS unimorph_feature, toxic AS unimorph_value, source AS category, lang AS application_string,
   array_to_string(list_sort(list_distinct(list(description))), ' | ') AS description, array_to_string(list_sort(list_distinct(list(trig))), ' | ') AS semantic_trigger,
@@ -160,8 +194,8 @@ t AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS t, list_filter(flatten(l
 c AS (SELECT doc_id, unnest(list_distinct(list_concat(t, p, list_transform(p, lambda x: '=' || x)))) AS word FROM t),
 m AS (SELECT doc_id, word, translations, row_number() OVER (PARTITION BY doc_id ORDER BY word DESC, translations DESC) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM c JOIN two USING (word))
 SELECT doc_id, n, word, translations FROM m WHERE k = 1""",
-        "word_match_ws": rf"""WITH {PHRASES}, s AS (SELECT doc_id, ' ' || regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\pL\pN_\s]', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') || ' ' AS s FROM documents)
-SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY length(word) DESC, word) AS rank FROM s JOIN phrases ON word <> '' AND contains(s, ' ' || word || ' ')""",
+        "item_words": rf"""WITH {ITEM_WORDS}, s AS (SELECT conv_id * 1000 + turn AS id, ' ' || regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\pL\pN_\s]', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') || ' ' AS s FROM conversations)
+SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY length(word) DESC, word) AS rank FROM s JOIN words ON contains(s, ' ' || word || ' ')""",
         "pos_predominance": """WITH j AS (SELECT source, quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
 SELECT source, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS hits, count(*) FILTER (WHERE quality = 1) / count(*) AS share FROM j GROUP BY source HAVING count(*) FILTER (WHERE quality = 1) / count(*) >= 0.3""",
         "adjacent_cosine": f"""WITH p AS (SELECT label, vec_id, embedding AS a, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings) SELECT label, vec_id, {_cosine("a", "b")} AS similarity FROM p WHERE b IS NOT NULL""",

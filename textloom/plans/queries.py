@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import generation, labeling, layout, lexical, metrics, responses, retrieval, rules, search, stats, tagging
+from textloom.operators import books, generation, labeling, layout, lexical, metrics, responses, retrieval, rules, search, stats, tagging
 from textloom.sources import readers
 from textloom.session import table
 from textloom.streaming import ledger
@@ -150,12 +150,13 @@ def distinct_on_text(spark, d):
 
 
 @query
-def canonical_merge(spark, d):
+def rule_merge(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    size = F.concat(F.lit("n"), F.pmod("n_chars", F.lit(9)).cast("string"))
     named = docs.select(
         F.col("doc_id").alias("ord"), F.col("lang").alias("target_pos"), F.col("source").alias("morpheme"), F.col("quality").alias("unimorph_feature"), F.col("toxic").alias("unimorph_value"),
-        F.col("source").alias("category"), F.col("lang").alias("application_string"), F.substring("text", 1, 12).alias("description"), F.substring("text", 1, 3).alias("semantic_trigger"),
-        F.when(F.col("n_chars") > 500, F.substring("text", 1, 8)).otherwise("N/A").alias("context_dependency"), F.col("doc_id").alias("section_id"), F.col("n_chars").alias("paragraph_id"),
+        F.col("source").alias("category"), F.col("lang").alias("application_string"), size.alias("description"), F.concat("lang", F.lit("-"), size).alias("semantic_trigger"),
+        F.when(F.col("n_chars") > 500, size).otherwise("N/A").alias("context_dependency"), F.col("doc_id").alias("section_id"), F.col("n_chars").alias("paragraph_id"),
     )
     return rules.merge_rules(named).withColumn("refs", F.array_join(F.transform("section_paragraph_ids", lambda r: F.concat(r["section_id"], F.lit(":"), r["paragraph_id"])), ",")).drop("section_paragraph_ids")
 
@@ -198,19 +199,19 @@ def dictionary_lookup(spark, d):
     return lexical.lookup_words(table(spark, d, "documents"), _dictionary(spark, d), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("word", "translations")).alias("m")).select("doc_id", "n", "m.word", "m.translations")
 
 
-def _phrases(spark, d):
-    w = tx.words(F.col("text"))
-    return table(spark, d, "benchmark").select(F.explode(F.array(F.get(w, 0), F.concat_ws(" ", F.slice(w, 1, 2)))).alias("word")).select(F.regexp_replace(F.lower("word"), r"[^\p{L}\p{N}_\s]", "").alias("word")).distinct()
+def _item_words(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("word"))
+    return words.select(F.regexp_replace(F.lower("word"), r"[^\p{L}\p{N}_\s]", "").alias("word")).where("word <> ''").distinct()
 
 
 @query
-def longest_match(spark, d):
-    return lexical.longest_matches(table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), _phrases(spark, d), "id")
+def longest_words(spark, d):
+    return lexical.longest_matches(table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), _item_words(spark, d), "id")
 
 
 @query
-def word_match_ws(spark, d):
-    return lexical.whitespace_matches(table(spark, d, "documents"), _phrases(spark, d), "doc_id")
+def item_words(spark, d):
+    return lexical.whitespace_matches(table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), _item_words(spark, d), "id")
 
 
 @query
@@ -298,7 +299,7 @@ def prompt_jsonl(spark, d):
 
 @query
 def response_parse(spark, d):
-    head = F.regexp_replace(F.substring_index("text", "\n", 1), r"[^\p{L} ]", "")
+    head = F.regexp_replace("text", r"[^\p{L} ]+", " ")
     answers = table(spark, d, "documents").select("doc_id", "lang", F.concat(F.lit("Some words.\n```yaml\nfinal_sentence: "), head, F.lit("\nenglish_translation: "), F.lower(head), F.lit("\n```")).alias("text"))
     return responses.final_answers(answers).select("doc_id", "source", "translation", tx.parsed_translation(F.col("text")).alias("plain"))
 
@@ -370,5 +371,74 @@ def corpus_metrics(spark, d):
     return metrics.corpus_scores(pairs, ["part"])
 
 
+def spans_of_orders(spark, d):
+    """Line items as the spans of a page: quantity for height, price for place, tax for size."""
+    i = table(spark, d, "lineitem")
+    return i.select("l_orderkey", F.col("l_linenumber").cast("long").alias("i"), F.col("l_extendedprice").alias("x0"), F.col("l_quantity").alias("y0"), (F.col("l_quantity") + F.col("l_linenumber")).alias("y1"), F.col("l_returnflag").alias("font"), F.col("l_tax").alias("size"), F.concat("l_returnflag", "l_linestatus").alias("text"))
+
+
+@query
+def visual_lines(spark, d):
+    return layout.visual_lines(spans_of_orders(spark, d), ["l_orderkey"], "i")
+
+
+@query
+def common_size(spark, d):
+    return layout.most_common(spans_of_orders(spark, d), ["l_orderkey"], "size", "i")
+
+
+@query
+def quantised_heights(spark, d):
+    return spans_of_orders(spark, d).select("l_orderkey", "i", layout.quantised(F.col("y0")).alias("row"))
+
+
+@query
+def continuation_rows(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_id", "value")
+    return layout.continuation(rows, ["user_id"], "value", "event_id", F.lit(1.0)).select("user_id", "event_id", "continuation")
+
+
+@query
+def rules_kept(spark, d):
+    return rules.with_rule(table(spark, d, "documents"), "text").select("doc_id", "lang")
+
+
+@query
+def first_items(spark, d):
+    items = table(spark, d, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag", "l_linestatus")
+    return rules.first_match(table(spark, d, "orders").select("o_orderkey"), items, "o_orderkey", "l_linenumber", ["l_returnflag", "l_linestatus"])
+
+
+@query
+def sections_by_page(spark, d):
+    found = _sections(spark, d).withColumns({"page": F.when(F.col("level") > 1, F.pmod("book", F.lit(17))), "id": F.col("book") * 100_000 + F.col("section")})
+    return books.by_page(found).withColumn("headings", F.array_join("headings", "|"))
+
+
+@query
+def usable_sections(spark, d):
+    return tagging.usable_sections(_sections(spark, d)).select("book", "section")
+
+
+@query
+def bullet_lists(spark, d):
+    return books.bullets(table(spark, d, "conversations"), "conv_id", "text", "turn")
+
+
+def _piped(spark, d):
+    return table(spark, d, "part").select("p_partkey", "p_size", "p_brand", F.concat_ws("|", "p_brand", "p_name", "p_type", "p_brand", "p_type").alias("text"))
+
+
+@query
+def trimmed_examples(spark, d):
+    return _piped(spark, d).select("p_partkey", books.trimmed_examples(F.col("text")).alias("text"))
+
+
+@query
+def best_paragraphs(spark, d):
+    rows = _piped(spark, d).select("p_brand", F.col("p_size").cast("long").alias("rule_rank"), F.col("p_partkey").alias("ref_no"), "text")
+    return books.best_paragraphs(rows, "p_brand", "rule_rank", 3, 14)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
