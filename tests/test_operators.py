@@ -3,12 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.functions.vocabulary import gloss_tags
-from textloom.operators import books, generation, labeling, layout, lexical, metrics, morphology, responses, retrieval, rules, search, stats, tagging
+from textloom.operators import books, generation, labeling, layout, lexical, metrics, morphology, ranks, responses, retrieval, rules, search, stats, tagging
 from textloom.plans import queries
 from textloom.sources import readers, sinks
 from textloom.streaming import ledger
@@ -195,6 +196,49 @@ def test_top_k_ties_and_self(spark):
     assert retrieval.pick_boundaries([0.5, 0.1, 0.4, 0.9], 20, 10, 3) == [2] and retrieval.pick_boundaries([0.1], 5, 10) == []
 
 
+def test_top_k_blocks_equal_comparing_all(spark):
+    rng = np.random.default_rng(3)
+    vectors = np.round(rng.normal(size=(90, 4)), 1)
+    vectors[[5, 50]] = 0
+    vectors[60:70] = vectors[10]  # ties
+    kinds = [None if i % 11 == 0 else "abc"[i % 3] for i in range(90)]
+    items = spark.createDataFrame([(i, kinds[i], vectors[i].tolist()) for i in range(90)] + [(99, "a", None)], "item_id long, kind string, embedding array<double>")
+    ids = [*range(0, 90, 3), 1000]
+    q = spark.createDataFrame([(i, vectors[i % 90].tolist(), i % 2) for i in ids] + [(2000, None, 0)], "query_id long, embedding array<double>, odd long")
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+
+    def want(i, k, one_a_kind):
+        order = sorted((x for x in range(90) if x != i), key=lambda x: (-round(float(unit[i % 90] @ unit[x]) / 2 + (x % 2 == i % 2), 6), x))
+        seen = set()
+        return [x for x in order if not one_a_kind or not (kinds[x] in seen or seen.add(kinds[x]))][:k]
+
+    def score(s, a, b):
+        return s / 2 + (a["odd"].to_numpy()[:, None] == b["item_id"].to_numpy()[None, :] % 2)
+
+    for sense in (None, "kind"):
+        got = retrieval.top_k(q, items, 3, places=6, score=score, sense=sense, others_only=True, query_block=7, item_block=13).collect()
+        for i in ids:
+            assert [r.item_id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == want(i, 3, sense), (i, sense)
+        assert {r.query_id for r in got} == set(ids)
+
+
+def test_row_numbers_equal_sorting_each_group(spark):
+    rng = np.random.default_rng(4)
+    keys = rng.permutation(4000).tolist()
+    rows = [(None if x % 50 == 0 else "hot" if x % 3 else f"g{x % 7}", x, "clash") for x in keys] + [("hot", None, "clash")]
+    df = spark.createDataFrame(rows, "g string, i long, index string").repartition(5)
+    got = {(r.g, r.i): r.n for r in ranks.row_numbers(df, "g", ["i"], "n", pieces=9).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        mine = sorted((r[1] for r in rows if r[0] == g), key=lambda i: -1 if i is None else i)
+        want |= {(g, i): n for n, i in enumerate(mine)}
+    assert got == want
+    texts = {(r.g, r.s): r.n for r in ranks.row_numbers(df.selectExpr("g", "cast(i as string) s"), "g", ["s"], "n").where("g = 'g0'").collect()}
+    assert [s for (_, s), _ in sorted(texts.items(), key=lambda x: x[1])] == sorted(s for _, s in texts)
+    assert ranks.row_numbers(df.limit(0), "g", ["i"], "n").count() == 0
+
+
 def test_chunks_buckets_quota(spark):
     assert generation.next_fit([9, 1, 1, 2, 5, 5], 4) == [0, 1, 1, 1, 2, 3] and generation.next_fit([4, 1], 4) == [0, 1] and generation.next_fit([], 4) == []
     rows = spark.createDataFrame([(i, "g") for i in range(21)], "i long, g string")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.ranks import row_numbers
+
 
 def templated(template: str, **values: Column) -> Column:
     """The template with each {name} replaced by its value; null values are empty."""
@@ -60,14 +62,13 @@ def token_chunks(rows: DataFrame, group: str, order: str, tokens: str, limit: in
 
 
 def fixed_parts(rows: DataFrame, group: str, order: str, size: int = 800) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(order)
-    return rows.withColumn("part", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    """Adds part: parts of `size` rows of a group, in order."""
+    return row_numbers(rows, group, [order], "part").withColumn("part", F.floor(F.col("part") / size).cast("long"))
 
 
 def nested_buckets(rows: DataFrame, group: str, order: str, limits: Sequence[int] = (5, 10, 15, 20), block: int = 20) -> DataFrame:
     """A row of each nested bucket a row falls into: its rank modulo the block is below the bucket's limit."""
-    w = Window.partitionBy(group).orderBy(order)
-    at = rows.withColumn("index", (F.row_number().over(w) - 1).cast("long"))
+    at = row_numbers(rows, group, [order], "index")
     fits = F.filter(F.array(*map(F.lit, limits)), lambda x: F.pmod(F.col("index"), F.lit(block)) < x)
     return at.withColumn("bucket", F.explode(F.transform(fits, lambda x: x.cast("long"))))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -21,35 +21,76 @@ def cosine(a: str, b: str) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", places: int = 6, block: int = 4096, max_queries: int = 100_000) -> DataFrame:
-    """query_id, item_id, score, rank: each query's k nearest items by cosine (rounded), ties by item id.
-
-    The queries, at most `max_queries`, go to every task; each block of items is one matrix product, and only k
-    candidates a query and block are shuffled.
+def top_k(
+    queries: DataFrame,
+    items: DataFrame,
+    k: int,
+    query_id: str = "query_id",
+    item_id: str = "item_id",
+    vector: str = "embedding",
+    places: int = 6,
+    score: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], np.ndarray] | None = None,
+    sense: str | None = None,
+    others_only: bool = False,
+    query_block: int = 4096,
+    item_block: int = 16384,
+) -> DataFrame:
+    """query_id, item_id, score, rank: each query's k best items by cosine (rounded), ties by item id.
+
+    `score` makes the scores of a block from its similarities, its queries and its items (all their columns), and is rounded
+    likewise. With `sense`, a column of the items, only the best item of each sense counts, and the column is returned.
+    `others_only` leaves out the item of the query's own id. Rows without a vector are left out; zero vectors score 0.
+
+    Both tables are dealt into blocks of bounded size, every block of queries meets every block of items in one matrix
+    product, and only k candidates a query and block of items are shuffled further. Nothing is collected or broadcast.
     """
-    rows = queries.select(query_id, vector).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
-    ids = [r[0] for r in rows]
-    q = _unit(np.array([r[1] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
-    shared = queries.sparkSession.sparkContext.broadcast((ids, q))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, m = shared.value
-        for batch in batches:
-            for at in range(0, len(batch), block):
-                part = batch.iloc[at : at + block].sort_values(item_id)
-                s = np.round(m @ _unit(np.stack(part[vector].to_list()).astype(np.float64)).T, places)
-                n = min(k, len(part))
-                best = np.argsort(-s, axis=1, kind="stable")[:, :n]
-                yield pd.DataFrame({query_id: np.repeat(names, n), item_id: part[item_id].to_numpy()[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
-
-    if not rows:
-        return items.limit(0).selectExpr(f"{item_id} as {query_id}", item_id, "cast(null as double) as score", "cast(null as bigint) as rank")
-    types = dict(items.dtypes) | dict(queries.dtypes)
-    found = items.select(item_id, vector).where(F.col(vector).isNotNull()).mapInPandas(score, f"{query_id} {types[query_id]}, {item_id} {types[item_id]}, score double")
+    queries, items = (t.where(F.col(vector).isNotNull()) for t in (queries, items))
+    n_q, n_i = max(1, -(-queries.count() // query_block)), max(1, -(-items.count() // item_block))
+
+    def dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        block = F.pmod(F.monotonically_increasing_id(), F.lit(n_own)).cast("int")
+        return rows.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    types = dict(items.dtypes) | {query_id: dict(queries.dtypes)[query_id]}
+    names = [query_id, item_id] + ([sense] if sense else [])
+
+    def meet(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(i):
+            return pd.DataFrame({c: [] for c in [*names, "score"]})
+        i = i.sort_values(item_id, na_position="first", kind="stable")
+        right = _unit(np.stack(i[vector].to_list()).astype(np.float64)).T
+        kinds = pd.factorize(i[sense], use_na_sentinel=False)[0] if sense else None
+        found = []
+        for at in range(0, len(q), 256):  # bounds the matrix of scores
+            part = q.iloc[at : at + 256]
+            s = _rounded(_unit(np.stack(part[vector].to_list()).astype(np.float64)) @ right, places)
+            if score:
+                s = _rounded(score(s, part, i), places)
+            if others_only:
+                s[part[query_id].to_numpy()[:, None] == i[item_id].to_numpy()[None, :]] = -np.inf
+            order = np.argsort(-s, axis=1, kind="stable")
+            if sense:  # the first place of each sense, in order of score
+                best = [o[np.sort(np.unique(kinds[o], return_index=True)[1])[:k]] for o in order]
+            else:
+                best = list(order[:, :k])
+            rows, cols = np.repeat(np.arange(len(part)), [len(b) for b in best]), np.concatenate(best)
+            some = pd.DataFrame({query_id: part[query_id].to_numpy()[rows], **{c: i[c].to_numpy()[cols] for c in names[1:]}, "score": s[rows, cols]})
+            found.append(some[some["score"] > -np.inf])
+        return pd.concat(found)
+
+    shape = ", ".join(f"`{c}` {types[c]}" for c in names) + ", score double"
+    left = dealt(queries, "_q", n_q, "_i", n_i).groupBy("_q", "_i")
+    right = dealt(items, "_i", n_i, "_q", n_q).groupBy("_q", "_i")
+    near = left.cogroup(right).applyInPandas(meet, shape)
+    if sense:
+        return distinct_top_k(near, query_id, item_id, sense, k)
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), item_id)
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def _rounded(m: np.ndarray, places: int) -> np.ndarray:
+    """Halves away from zero."""
+    return np.copysign(np.floor(np.abs(m) * 10.0**places + 0.5), m) / 10.0**places + 0.0
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

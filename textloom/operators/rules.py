@@ -8,21 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import strip
+from textloom.operators.ranks import row_numbers
 
 #: Descriptions that say there is no rule (fixed values).
 NO_RULE = ("no applicable rule found", "no valid rules")
 
 
 def distinct_on(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The first row of each key in the given order. An aggregate, so that copies of a hot key are combined before they are
+    shuffled and no task sorts them."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_first")
+    return rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(first).select("_first.*")
 
 
 def distinct_capped(rows: DataFrame, group: str, keys: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:
     """Distinct on (group, keys), then the first `cap` rows of each group (a top-k report)."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return distinct_on(rows, [group, *keys], order).withColumn("index", F.row_number().over(w).cast("long")).where(F.col("index") <= cap)
+    one = distinct_on(rows, [group, *keys], order)
+    return row_numbers(one, group, list(order), "index").withColumn("index", F.col("index") + 1).where(F.col("index") <= cap)
 
 
 def with_rule(rows: DataFrame, description: str = "description") -> DataFrame:
@@ -91,7 +93,8 @@ def unresolved(requests: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def first_match(left: DataFrame, right: DataFrame, key: str, order: str, columns: Sequence[str], default: str = "Unknown") -> DataFrame:
     """Left join with the first right row of each key; missing strings become the default."""
-    one = distinct_on(right, [key], [order]).select(key, *columns)
+    w = Window.partitionBy(key).orderBy(order)
+    one = right.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(key, *columns)
     return left.join(one, key, "left").withColumns({c: F.coalesce(c, F.lit(default)) for c in columns})
 
 

@@ -242,25 +242,21 @@ def rule_topk(spark, d):
     return retrieval.top_k(_queries(spark, d), table(spark, d, "embeddings").withColumnRenamed("vec_id", "item_id"), 3)
 
 
-def _scored(spark, d):
-    """The query set, a fiftieth of the rows in one block, meets all items."""
-    q = _queries(spark, d).withColumnRenamed("embedding", "q")
-    return table(spark, d, "embeddings").withColumnRenamed("vec_id", "item_id").join(F.broadcast(q), F.col("query_id") != F.col("item_id")).withColumn("similarity", F.round(retrieval.cosine("q", "embedding"), 6))
-
-
 @query
 def hybrid_topk(spark, d):
-    features = retrieval.feature_score(F.col("label") == F.col("query_label"), F.pmod("item_id", F.lit(2)) == F.pmod("query_id", F.lit(2)))
-    from pyspark.sql import Window
+    def score(similarity, q, i):
+        same = [(q[a].to_numpy()[:, None] == i[b].to_numpy()[None, :]).astype(float) for a, b in (("query_label", "label"), ("query_parity", "parity"))]
+        return retrieval.hybrid(similarity, (same[0] + 2 * same[1]) / 4.5)
 
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    s = _scored(spark, d).withColumn("score", F.round(retrieval.hybrid(F.col("similarity"), features), 6))
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("query_id", "item_id", "score", "rank")
+    q = _queries(spark, d).withColumn("query_parity", F.pmod("query_id", F.lit(2)))
+    items = table(spark, d, "embeddings").withColumnRenamed("vec_id", "item_id").withColumn("parity", F.pmod("item_id", F.lit(2)))
+    return retrieval.top_k(q, items, 5, score=score, others_only=True)
 
 
 @query
 def similar_distinct(spark, d):
-    return retrieval.distinct_top_k(_scored(spark, d).withColumn("score", F.col("similarity")), "query_id", "item_id", "label", 4).select("query_id", "item_id", "label", "score", "rank")
+    items = table(spark, d, "embeddings").withColumnRenamed("vec_id", "item_id")
+    return retrieval.top_k(_queries(spark, d), items, 4, sense="label", others_only=True).select("query_id", "item_id", "label", "score", "rank")
 
 
 @query
