@@ -438,3 +438,15 @@ def test_fallback_answers_keep_translations_and_guard_sources():
     assert responses.final_answer(f"Final output: s t\ntranslation: {long}") == ("s t", long.strip())
     assert responses.final_answer(f"source: {long}\nresult: u") == ("u", "")
     assert responses.final_answer("source: the original sentence\nfinal fragment: v") == ("v", "")
+
+
+def test_first_items_ties_come_in_file_order(spark, tmp_path):
+    spark.range(300).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    for n, copies in enumerate((1, 9)):  # Spark reads the larger file, here the second, before the other
+        rows = spark.range(300).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(20.0).alias("l_quantity"), F.lit(str(n)).alias("l_returnflag"), F.explode(F.array(*[F.lit(f"{c}") for c in range(copies)])).alias("l_linestatus"))
+        rows.toPandas().to_parquet(tmp_path / f"part-{n}.parquet")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for n in range(2):
+        (tmp_path / f"part-{n}.parquet").rename(tmp_path / "lineitem.parquet" / f"part-{n}.parquet")
+    got = queries.first_items(spark, str(tmp_path)).collect()
+    assert len(got) == 300 and all((r.l_returnflag, r.l_linestatus) == ("0", "0") for r in got)

@@ -91,9 +91,10 @@ def unresolved(requests: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return requests.join(done.select(key).distinct(), key, "left_anti")
 
 
-def first_match(left: DataFrame, right: DataFrame, key: str, order: str, columns: Sequence[str], default: str = "Unknown") -> DataFrame:
-    """Left join with the first right row of each key; missing strings become the default."""
-    w = Window.partitionBy(key).orderBy(order)
+def first_match(left: DataFrame, right: DataFrame, key: str, order: str | Sequence[str], columns: Sequence[str], default: str = "Unknown") -> DataFrame:
+    """Left join with the first right row of each key; missing strings become the default. An order that repeats in a key
+    needs further columns, or which of its rows comes first depends on partitions."""
+    w = Window.partitionBy(key).orderBy(*([order] if isinstance(order, str) else order))
     one = right.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(key, *columns)
     return left.join(one, key, "left").withColumns({c: F.coalesce(c, F.lit(default)) for c in columns})
 
