@@ -450,3 +450,9 @@ def test_first_items_ties_come_in_file_order(spark, tmp_path):
         (tmp_path / f"part-{n}.parquet").rename(tmp_path / "lineitem.parquet" / f"part-{n}.parquet")
     got = queries.first_items(spark, str(tmp_path)).collect()
     assert len(got) == 300 and all((r.l_returnflag, r.l_linestatus) == ("0", "0") for r in got)
+
+
+def test_answers_are_parsed_in_small_batches(spark):
+    got = responses.final_answers(spark.createDataFrame([(1, "source: a\ntranslation: b"), (2, None)], "id long, text string"))
+    assert [tuple(r) for r in got.orderBy("id").select("source", "translation").collect()] == [("a", "b"), ("", "")]
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().toString()  # a batch of Arrow takes 10,000 texts of any length
