@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Scores that a worker holds at a time: a matrix of them takes 2 MB, whatever the blocks.
+SCORES = 1 << 18
+
 
 def dot(a: str | Column, b: str | Column) -> Column:
     """Inner product of two arrays, summed in order as doubles."""
@@ -61,8 +64,9 @@ def top_k(
         right = _unit(np.stack(i[vector].to_list()).astype(np.float64)).T
         kinds = pd.factorize(i[sense], use_na_sentinel=False)[0] if sense else None
         found = []
-        for at in range(0, len(q), 256):  # bounds the matrix of scores
-            part = q.iloc[at : at + 256]
+        step = max(1, SCORES // len(i))  # bounds the matrix of scores and all that is made of it
+        for at in range(0, len(q), step):
+            part = q.iloc[at : at + step]
             s = _rounded(_unit(np.stack(part[vector].to_list()).astype(np.float64)) @ right, places)
             if score:
                 s = _rounded(score(s, part, i), places)
