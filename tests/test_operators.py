@@ -456,3 +456,21 @@ def test_answers_are_parsed_in_small_batches(spark):
     got = responses.final_answers(spark.createDataFrame([(1, "source: a\ntranslation: b"), (2, None)], "id long, text string"))
     assert [tuple(r) for r in got.orderBy("id").select("source", "translation").collect()] == [("a", "b"), ("", "")]
     assert "ArrowEvalPython" not in got._jdf.queryExecution().toString()  # a batch of Arrow takes 10,000 texts of any length
+
+
+def test_line_heights_fold_many_keys_in_a_batch(spark):
+    nan = float("nan")
+    rows = [(1, 0.0), (1, -0.0), (1, 10.0), (1, 13.0), (1, 13.0), (1, None), (1, nan), (2, 4.0), (3, None), (4, 1.0), (4, 11.0), (None, 2.0)]
+    got = layout.line_heights(spark.createDataFrame([(k, y, i) for i, (k, y) in enumerate(rows)], "k long, y double, i long"), "k", "y", "i")
+    assert {r.k: (r.normal, r.continuation) for r in got.collect()} == {1: (10.0, 3.0), 2: (None, None), 3: (None, None), 4: (10.0, 5.0), None: (None, None)}
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # one call of Python a key
+
+
+def test_top_k_holds_few_scores_at_a_time(spark):
+    def score(similarity, q, i):
+        assert similarity.size <= retrieval.SCORES
+        return similarity
+
+    items = spark.range(5000).select(F.col("id").alias("item_id"), F.array(F.lit(1.0), F.col("id") % 7).alias("embedding"))
+    got = retrieval.top_k(items.where("item_id < 200").withColumnRenamed("item_id", "query_id"), items, 2, score=score).collect()
+    assert len(got) == 400 and {(r.query_id % 7, r.item_id) for r in got if r.rank == 1} == {(k, k) for k in range(7)}

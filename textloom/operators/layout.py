@@ -7,6 +7,7 @@ All windows are partitioned by book (or page), the unit the order is defined in.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -139,15 +140,17 @@ def merged_gaps(gaps: list[float], width: float = 0.5, top: int = 2) -> tuple[fl
 
 
 def line_heights(spans: DataFrame, key: str, y: str, order: str) -> DataFrame:
-    """merged_gaps of the distances between the distinct positions of each key, in ascending order."""
+    """merged_gaps of the distances between the distinct positions of each key, in ascending order.
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        at = sorted(page[y].dropna().unique().tolist())
-        normal, more = merged_gaps([b - a for a, b in zip(at, at[1:], strict=False)])
-        return pd.DataFrame([(page[key].iloc[0], normal, more)], columns=[key, "normal", "continuation"])
+    The distinct positions of a key are one row, so that Python folds thousands of keys in a batch."""
 
-    kind = dict(spans.dtypes)[key]
-    return spans.select(key, F.col(y).cast("double").alias(y), order).groupBy(key).applyInPandas(fold, f"{key} {kind}, normal double, continuation double")
+    @F.pandas_udf("normal double, continuation double")
+    def fold(positions: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([merged_gaps([b - a for a, b in pairwise(at.tolist())]) for at in positions], columns=["normal", "continuation"], dtype="float64")
+
+    place = F.col(y).cast("double") + 0.0  # no second zero
+    pages = spans.groupBy(key).agg(F.array_sort(F.collect_set(F.when(~F.isnan(place), place))).alias("_at"))
+    return pages.withColumn("_h", fold("_at")).select(key, "_h.normal", "_h.continuation")
 
 
 def quantised(y: Column, step: float = 2.0) -> Column:
