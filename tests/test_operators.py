@@ -474,3 +474,11 @@ def test_top_k_holds_few_scores_at_a_time(spark):
     items = spark.range(5000).select(F.col("id").alias("item_id"), F.array(F.lit(1.0), F.col("id") % 7).alias("embedding"))
     got = retrieval.top_k(items.where("item_id < 200").withColumnRenamed("item_id", "query_id"), items, 2, score=score).collect()
     assert len(got) == 400 and {(r.query_id % 7, r.item_id) for r in got if r.rank == 1} == {(k, k) for k in range(7)}
+
+
+def test_visual_lines_deal_the_spans_once(spark, monkeypatch):
+    monkeypatch.setattr(layout, "SPANS", 10)
+    rows = [(p, i, float(i), float(i // 2 * 9), float(i // 2 * 9 + 4), f"f{i % 2}", 1.0 + i % 2, "ab" if i % 2 else "c") for p in range(50) for i in range(4)] + [(None, 0, 0.0, 0.0, 1.0, "f", 1.0, "x")]
+    got = layout.visual_lines(spark.createDataFrame(rows, "page long, i long, x0 double, y0 double, y1 double, font string, size double, text string"), ["page"], "i")
+    assert got.rdd.getNumPartitions() == 21 and len(got.collect()) == 100
+    assert all((r.n, r.text, r.common_size) == (2, "c ab", 2.0) for r in got.collect())

@@ -7,7 +7,9 @@ All windows are partitioned by book (or page), the unit the order is defined in.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import pairwise
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import n_words, strip
 
+#: Spans that a task sorts, about.
+SPANS = 200_000
+
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """book, line_no, text, size of the non-empty lines of every text; the size stands in for a font size: its words."""
@@ -88,15 +93,17 @@ def visual_lines(spans: DataFrame, keys: Sequence[str], order: str, share: float
     By height, a span within `share` of the page's median span height of the one before is on its line. Texts are joined
     from left to right; the common size is that of the font and size with most code points, the leftmost of equals.
     """
+    # one dealing of the spans serves every step, and a task has about SPANS of them; spans without a page have no lines
+    pages = max(spans.sparkSession.sparkContext.defaultParallelism, -(-spans.count() // SPANS))
+    spans = spans.where(reduce(and_, [F.col(k).isNotNull() for k in keys])).repartition(pages, *keys)
     w = Window.partitionBy(*keys).orderBy("y0", order)
     reach = F.percentile(F.col("y1") - F.col("y0"), F.lit(0.5)).over(Window.partitionBy(*keys)) * share
     near = F.coalesce(F.abs(F.col("y0") - F.lag("y0").over(w)) < F.col("_reach"), F.lit(False))
     lined = spans.withColumn("_reach", reach).withColumn("_starts", (~near).cast("int")).withColumn("line", F.sum("_starts").over(w).cast("long"))
-    fonts = lined.groupBy(*keys, "line", "font", "size").agg(F.sum(F.length("text")).alias("c"), F.min(F.struct("x0", order)).alias("f"))
-    common = fonts.groupBy(*keys, "line").agg(F.min_by("size", F.struct(-F.col("c"), "f")).alias("common_size"))
-    pieces = F.array_sort(F.collect_list(F.when(strip(F.col("text")) != "", F.struct("x0", order, "text"))))
-    texts = lined.groupBy(*keys, "line").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(pieces, lambda x: x["text"]), " ").alias("text"), F.min("x0").alias("x0"))
-    return texts.join(common, [*keys, "line"])
+    pieces = F.collect_list(F.when(strip(F.col("text")) != "", F.struct("x0", order, "text")))
+    fonts = lined.groupBy(*keys, "line", "font", "size").agg(F.sum(F.length("text")).alias("c"), F.min(F.struct("x0", order)).alias("f"), F.count(F.lit(1)).alias("_n"), F.min("x0").alias("_x"), pieces.alias("_p"))
+    text = F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("_p"))), lambda x: x["text"]), " ")
+    return fonts.groupBy(*keys, "line").agg(F.sum("_n").alias("n"), text.alias("text"), F.min("_x").alias("x0"), F.min_by("size", F.struct(-F.col("c"), "f")).alias("common_size"))
 
 
 def most_common(rows: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
