@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -184,6 +185,39 @@ def test_matching(spark):
     assert [x.k for x in r.select(lexical.replaceable(F.col("w"), F.col("p")).alias("k")).collect()] == [False, False, False, True]
 
 
+@pytest.mark.parametrize("rows,join", [(10**6, "BroadcastHashJoin"), (0, "ShuffledHashJoin")])
+def test_lookup_last_equals_looking_up_each_word(spark, rows, join):
+    rng = random.Random(5)
+    text = lambda letters, n: "".join(rng.choices(letters, k=rng.randrange(n)))
+    sentences = [(k % 50, text("ab=- \t\né\U0001f600\uffff", 30)) for k in range(90)] + [(60, None), (61, ""), (None, "a=b"), (62, " = - ")]
+    entries = [(i, w, rng.choice([None, "", "x", "y; z"])) for i, w in enumerate([text("ab=-é\U0001f600\uffff", 7) for _ in range(300)] + ["=", "-", "=a", "=a", "=a", "a", "==a", "=a-b", "aaaaab", "aaaaaa", "a b", "", None, "=a b"])]
+    senses = {}
+    for _, w, t in entries:
+        senses.setdefault(w, []).append(t)
+    want = {}
+    for key, s in sentences:
+        tokens = re.findall(r"[^ \t\n]+", s or "")
+        parts = [p for t in tokens for p in re.split("[=-]", t) if p]
+        want.setdefault(key, []).extend({*tokens, *parts, *("=" + p for p in parts)} & {*senses} - {""})
+    want = {(k, len(ws), w := max(ws, key=str.encode), "; ".join(t for t in senses[w][:2] if t is not None)) for k, ws in want.items() if ws}
+    docs, words = spark.createDataFrame(sentences, "id long, text string"), spark.createDataFrame(entries, "ord long, word string, translation string")
+    got = lexical.lookup_last(docs, words, "id", rows=rows)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 40
+    each = lexical.lookup_words(docs, words, "id", rows=rows).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("word", "translations")).alias("m")).select("id", "n", "m.*")
+    assert sorted(map(tuple, each.collect()), key=repr) == sorted(want, key=repr)
+    plan = lexical.lookup_last(docs, words, "id", rows=rows)._jdf.queryExecution().sparkPlan().toString()
+    assert join in plan and "SortMergeJoin" not in plan
+
+
+def test_dictionary_lookup_does_not_sort_words_by_document(spark, tmp_path):
+    spark.createDataFrame([(1, "a=s b-a"), (2, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "a one, two"), (1, "=s a b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.queries()["dictionary_lookup"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [(1, 3, "b", "=s a b")]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate(keys=[doc_id" in plan and "SortAggregate" not in plan  # that sorts all words of a task first
+
+
 # retrieval and generation
 
 

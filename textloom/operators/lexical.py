@@ -15,18 +15,50 @@ from textloom.functions.text import strip
 FIXED_POS = ("CLITIC", "PARTICLE", "ADPOSITION", "AUX")
 #: What may stand before and after a match (fixed values).
 LEFT, RIGHT = r"(?<!\w)", r"(?=[=\-~]|\b|$)"
+#: A dictionary of at most so many rows and bytes of text is broadcast.
+SMALL = (2**17, 2**23)
 
 
-def lookup_words(sentences: DataFrame, dictionary: DataFrame, key: str, text: str = "text") -> DataFrame:
+def _pieces(sentences: DataFrame, key: str, text: str) -> DataFrame:
+    """key, form: the distinct parts of a sentence's tokens at = and -, and the tokens that hold one of these."""
+    whole = F.filter(F.split(F.col(text), r"\s+"), lambda t: t.contains("=") | t.contains("-"))
+    return sentences.select(key, F.explode(F.array_distinct(F.concat(F.split(F.col(text), r"[\s=\-]+"), whole))).alias("form"))
+
+
+def _forms(dictionary: DataFrame) -> DataFrame:
+    """form, word, translations: each word with its first two translations (by ord) joined by "; ". The form is the piece of
+    a sentence that the word is met by: of "=" + part the part, since that stands wherever the word does, else the word."""
+    w = Window.partitionBy("word").orderBy("ord")
+    two = dictionary.where("word <> ''").withColumn("_r", F.row_number().over(w)).where("_r <= 2").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("ord", "translation"))).alias("t"))
+    return two.select(F.regexp_replace("word", r"^=(?=[^=\-]+$)", "").alias("form"), "word", F.array_join(F.transform("t", lambda x: x["translation"]), "; ").alias("translations"))
+
+
+def _join_of(dictionary: DataFrame, rows: int, size: int) -> str:
+    """The join that keeps the sentences' words unsorted: the dictionary, read once for that, is broadcast if it has at most
+    so many rows and bytes; else both sides are dealt by hash, and a task holds its share of the dictionary."""
+    bulk = F.sum(F.octet_length("word") + F.coalesce(F.octet_length("translation"), F.lit(0)))
+    n, b = dictionary.agg(F.count(F.lit(1)), F.coalesce(bulk, F.lit(0))).first()
+    return "broadcast" if n <= rows and b <= size else "shuffle_hash"
+
+
+def lookup_words(sentences: DataFrame, dictionary: DataFrame, key: str, text: str = "text", rows: int = SMALL[0], size: int = SMALL[1]) -> DataFrame:
     """key, word, translations: sentence tokens, their parts at = and -, and "=" + part, looked up case-sensitively; the
     first two translations (by ord) joined by "; "."""
-    tokens = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
-    parts = F.filter(F.flatten(F.transform(tokens, lambda t: F.split(t, r"[=\-]"))), lambda p: p != "")
-    all_ = F.array_distinct(F.concat(tokens, parts, F.transform(parts, lambda p: F.concat(F.lit("="), p))))
-    wanted = sentences.select(key, F.explode(all_).alias("word"))
-    w = Window.partitionBy("word").orderBy("ord")
-    two = dictionary.withColumn("_r", F.row_number().over(w)).where("_r <= 2").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("ord", "translation"))).alias("t"))
-    return wanted.join(two, "word").select(key, "word", F.array_join(F.transform("t", lambda x: x["translation"]), "; ").alias("translations"))
+    forms = _forms(dictionary).hint(_join_of(dictionary, rows, size))
+    return _pieces(sentences, key, text).join(forms, "form").select(key, "word", "translations")
+
+
+def lookup_last(sentences: DataFrame, dictionary: DataFrame, key: str, text: str = "text", rows: int = SMALL[0], size: int = SMALL[1]) -> DataFrame:
+    """key, n, word, translations: how many words lookup_words gives for a key, and the last of them by bytes.
+
+    Words are numbered in their order, by their first four bytes and inside these, since the maximum of a number is kept in
+    a hash table of keys; that of a string would have all words of a task sorted by key first."""
+    head = F.conv(F.rpad(F.hex(F.substring(F.col("word").cast("binary"), 1, 4)), 8, "0"), 16, 10).cast("long")
+    at = F.row_number().over(Window.partitionBy("_head").orderBy("word"))
+    forms = _forms(dictionary).withColumn("_head", head).withColumn("_no", F.col("_head") * 2**31 + at)
+    how = _join_of(dictionary, rows, size)
+    last = _pieces(sentences, key, text).join(forms.select("form", "_no").hint(how), "form").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("_no").alias("_no"))
+    return last.join(forms.select("_no", "word", "translations").hint(how), "_no").select(key, "n", "word", "translations")
 
 
 def whitespace_matches(sentences: DataFrame, words: DataFrame, key: str, text: str = "text") -> DataFrame:
