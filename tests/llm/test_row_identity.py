@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 
+from textloom.llm import components as components_module
 from textloom.llm import exact_dedup, ngram_join
 from textloom.llm.common import discard, scratch, shared_dir, staged
 
@@ -96,3 +97,43 @@ def test_a_family_around_the_threshold_in_rounds(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in ngram_join.near_components(docs_of(spark, list(enumerate(texts))), 4, 85).collect()}
     assert got == dict(enumerate(brute_components(texts, 4, 85)[1]))
     assert len(pairs) == 1 + len(ngram_join.ROUNDS)
+
+
+@pytest.mark.parametrize("one_task", [components_module.ONE_TASK, 0])
+def test_components_by_either_path(spark, monkeypatch, one_task):
+    import random
+
+    rng, tables = random.Random(5), []
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 450)] + [(2**62, -(2**62)), (900, 900)]
+    want = {n: n for a, b in links if a != b for n in (a, b)}
+    for _ in links:
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    monkeypatch.setattr(components_module, "ONE_TASK", one_task)
+    monkeypatch.setattr(components_module, "staged", lambda df, name: tables.append(name) or staged(df, name))
+    got = components_module.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert bool(tables) == (one_task == 0)  # few links need no star step
+    assert components_module.components(spark.createDataFrame([(7, 7)], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("one_task", [components_module.ONE_TASK, 0])
+def test_near_components_need_few_tables(spark, monkeypatch, one_task):
+    import random
+
+    from tests.llm.test_llm import brute_components
+
+    rng = random.Random(8)
+    base, texts, tables = words("f", 60).split(), [words(f"o{i % 9}") for i in range(20)], []
+    for _ in range(70):
+        copy = list(base)
+        for _ in range(rng.randint(0, 2)):
+            copy[rng.randrange(60)] = rng.choice("xyz")
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(components_module, "ONE_TASK", one_task)
+    for module in (ngram_join, components_module):
+        monkeypatch.setattr(module, "staged", lambda df, name: tables.append(name) or staged(df, name))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_components(docs_of(spark, list(enumerate(texts))), 4, 85).collect()}
+    assert got == dict(enumerate(brute_components(texts, 4, 85)[1]))
+    assert one_task == 0 or len(tables) <= 32

@@ -1,12 +1,46 @@
-"""Connected components of a link table, by alternating large-star and small-star steps on DataFrames."""
+"""Connected components of a link table: of few links in one task, otherwise by alternating large-star and small-star steps
+on DataFrames."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import discard, staged
 
+#: Links that one task takes at most (some 30 MB of arrays); more go through the star steps, each of which is a handful of
+#: shuffles however few the links are.
+ONE_TASK = 2**18
+
+
+def _of_arrays(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes and the smallest node of each one's component."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:  # of a component's roots, all but local minima hook onto a smaller one: at most half of them stay
+        new, low = root.copy(), np.minimum(root[i], root[j])
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if parts := [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]:
+            found = _of_arrays(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["node", "component"])
+
+    return links.coalesce(1).mapInArrow(run, "node long, component long")
+
 
 def _large_star(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Each node hands the smallest node it sees to its larger neighbours.
@@ -29,10 +63,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of links (a long, b long); a component is named by its smallest node.
 
-    Links to itself and repeated links are allowed; without links the result is empty. Every step is a shuffle of the
-    remaining edges; the number of steps grows with the logarithm of the node count.
+    Links to itself and repeated links are allowed; without links the result is empty. Links are read twice, so they had
+    better be staged. Up to ONE_TASK of them are joined in one task; beyond, every step is a shuffle of the remaining edges
+    and the number of steps grows with the logarithm of the node count.
     """
-    edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    links = links.where("a <> b").select("a", "b")
+    if links.count() <= ONE_TASK:
+        return _in_one_task(links)
+    edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

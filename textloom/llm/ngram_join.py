@@ -39,6 +39,8 @@ ROUNDS = (16, 4, 1)
 #: Tokens that are looked at to find frequent ones, and how often a frequent one occurs among them; SAMPLE / OFTEN bounds
 #: the number of frequent tokens, which are broadcast.
 SAMPLE, OFTEN = 1_000_000, 20
+#: Tasks that gather the counts of such a sample.
+FEW = 12
 
 
 def _ceil(n: str, percent: int) -> str:
@@ -69,24 +71,25 @@ def _sets(docs: DataFrame, k: int, percent: int, whole: bool) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar enough."""
+    """The pairs (a, b and what else they hold) of nodes whose whole sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     return (
         pairs.join(left, "a")
         .join(right, "b")
         .where((100 + percent) * F.size(F.array_intersect("ta", "tb")) >= percent * (F.col("na") + F.col("nb")))
-        .select("a", "b")
-        .distinct()
+        .select(*pairs.columns)
     )
 
 
 def _frequent(sets: DataFrame) -> DataFrame:
-    """(token, hot) of tokens that are frequent in a sample of the sets; at most SAMPLE / OFTEN rows for sets of common size."""
+    """(token, hot) of tokens that are frequent in a sample of the sets; at most SAMPLE / OFTEN rows for sets of common size.
+
+    The sample's size is fixed, so FEW tasks gather its counts, and as many files hold them."""
     total = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
     every = max(1, -(-total // SAMPLE))
     sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0) if every > 1 else sets
-    return staged(sample.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= OFTEN).select("token", F.lit(True).alias("hot")), "ngram-frequent")
+    return staged(sample.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= OFTEN).select("token", F.lit(True).alias("hot")).coalesce(FEW), "ngram-frequent")
 
 
 def _dealt(rows: DataFrame, frequent: DataFrame, node: str) -> DataFrame:
@@ -116,7 +119,7 @@ def near_nodes(rows: DataFrame, k: int, percent: int, id_col: str = "doc_id", te
         .agg(F.count(F.lit(1)).alias("shared"))
     )
     needed = F.expr(f"greatest(1, ({_ceil('n', percent)} * {EXTRA}) div 100)")
-    likely = staged(classes.select("node", "n").join(shared, "node").where(F.col("shared") >= needed).select("node").distinct(), "ngram-likely")
+    likely = staged(classes.select("node", "n").join(shared, "node").where(F.col("shared") >= needed).select("node"), "ngram-likely")
     sets = staged(
         _sets(rows.join(likely, F.col("id") == F.col("node"), "left_semi"), k, percent, whole=True).withColumnRenamed("id", "node").where("n > 0"), "ngram-sets"
     )
@@ -127,23 +130,23 @@ def near_nodes(rows: DataFrame, k: int, percent: int, id_col: str = "doc_id", te
     counted = staged(tokens.join(F.broadcast(frequent), "token").groupBy("token").agg(F.count(F.lit(1)).alias("dfs"), F.lit(True).alias("hot")), "ngram-counted")
     by_node = Window.partitionBy("node", "n")
     plain = f"n - {_ceil('n', percent)}"  # a prefix has one token more
-    prefix = staged(
+    prefix = (
         _dealt(tokens, counted, "node")
         .withColumn("df", F.coalesce("dfs", F.count(F.lit(1)).over(by_token)))
         .where("df > 1")
         .withColumn("alone", F.col("n") - F.count(F.lit(1)).over(by_node))
         .withColumn("p", (F.row_number().over(by_node.orderBy("df", "token")) - 1 + F.col("alone")).cast("int"))
         .where(F.expr(f"p <= {plain}"))
-        .select("node", "n", "token", "p"),
-        "ngram-postings",
     )
-    # Both sides of the join are staged, so that adaptive execution can split the rows of a hot key.
-    keyed = staged(prefix.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("p", "token"))).alias("key")), "ngram-keys")  # a part of one set
+    # A key is a part of one set; its rows are together already. Both sides of the join are staged, so that adaptive
+    # execution can split the rows of a hot key.
+    keyed = staged(prefix.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("p", "token"))).alias("key")), "ngram-keys")
     grouped = staged(keyed.groupBy("key", "n").agg(F.min("node").alias("group")), "ngram-grouped")
     # Members of a group first meet at the group's first position; where that is too late none of them can be linked.
     inner = F.expr(f"(n - key[0].p) * {100 + percent} >= {2 * percent} * n")
-    members = staged(keyed.join(grouped, ["key", "n"]).select("node", "group", inner.alias("inner")), "ngram-members")
-    postings = staged(prefix.join(members.where(F.col("node") == F.col("group")).select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "group"), "ngram-groups")
+    named_key = F.when(F.col("node") == F.col("group"), F.col("key")).alias("key")  # once a group
+    members = staged(keyed.join(grouped, ["key", "n"]).select("node", "n", "group", inner.alias("inner"), named_key), "ngram-members")
+    postings = members.where(F.col("node") == F.col("group")).select("group", "n", F.explode("key").alias("k")).select("group", "n", "k.token", "k.p")
 
     # The leader of a token has least of its set before it.
     lead = postings.groupBy("token").agg(F.min(F.struct(F.col("p") / F.col("n"), "group", "n", "p")).alias("lead"))
@@ -163,44 +166,50 @@ def near_nodes(rows: DataFrame, k: int, percent: int, id_col: str = "doc_id", te
     links = staged(_verified(first, sets, percent), "ngram-links")
     near = staged(components(links), "ngram-near")
 
+    # One row a node here, as in members.
     placed = staged(members.join(near, "node", "left").select("node", "group", "inner", F.coalesce("component", "node").alias("c")), "ngram-placed")
-    spans = placed.groupBy("group").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.bool_or("inner").alias("inner"))
+    spans = placed.groupBy("group").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.bool_or("inner").alias("inner"), F.count(F.lit(1)).alias("size"))
     lead_c = placed.select(F.col("node").alias("lead"), F.col("c").alias("main")).distinct()
-    spread = staged(headed.join(spans.drop("inner"), "group").join(lead_c, "lead").select("token", "group", "n", "p", "low", "high", "main"), "ngram-spread")
-    odd = spread.where("low <> main or high <> main").select("token", F.col("group").alias("g1"), F.col("n").alias("n1"), F.col("p").alias("p1"), F.col("low").alias("l1"), F.col("high").alias("h1"))
-    any_ = spread.select("token", F.col("group").alias("g2"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
+    spread = staged(headed.join(spans.drop("inner"), "group").join(lead_c, "lead").select("token", "group", "n", "p", "low", "high", "size", "main"), "ngram-spread")
+    short = {"group": "g", "n": "n", "p": "p", "low": "l", "high": "h", "size": "s"}
+    odd = spread.where("low <> main or high <> main").select("token", *(F.col(x).alias(f"{y}1") for x, y in short.items()))
+    any_ = spread.select("token", *(F.col(x).alias(f"{y}2") for x, y in short.items()))
+    # The smaller group of a pair comes first: its members are the ones that are listed for each pair.
+    one, two = (F.struct(F.col(f"s{i}").alias("s"), F.col(f"g{i}").alias("g")) for i in (1, 2))
     met = (
         odd.join(any_, (odd.token == any_.token) & (F.col("g1") != F.col("g2")) & passes("n1", "p1", "n2", "p2") & ((F.col("l1") != F.col("l2")) | (F.col("h1") != F.col("h2")) | (F.col("l1") != F.col("h1"))))
-        .select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"))
-        .unionByName(spans.where("inner and low <> high").select(F.col("group").alias("g1"), F.col("group").alias("g2")))
+        .select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"))
+        .select(F.col("x.g").alias("g1"), F.col("y.g").alias("g2"), (F.col("x.s") * F.col("y.s")).alias("pairs"))
+        .unionByName(spans.where("inner and low <> high").select(F.col("group").alias("g1"), F.col("group").alias("g2"), (F.col("size") * F.col("size")).alias("pairs")))
         .distinct()
     )
-    # The smaller group of a pair comes first: its members are the ones that are listed for each pair.
-    sizes = placed.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    sized = met.join(sizes.toDF("g1", "s1"), "g1").join(sizes.toDF("g2", "s2"), "g2")
-    meet = staged(sized.select(F.when(F.col("s1") <= F.col("s2"), F.col("g1")).otherwise(F.col("g2")).alias("g1"), F.when(F.col("s1") <= F.col("s2"), F.col("g2")).otherwise(F.col("g1")).alias("g2"), (F.col("s1") * F.col("s2")).alias("pairs")), "ngram-meet")
+    meet = staged(met, "ngram-meet")
     many = meet.agg(F.sum("pairs")).first()[0] or 0
-    was = staged(placed.select("node", "c").distinct(), "ngram-was")
-    at, found = was, None
+    at, apart = placed.select("node", "group", "c"), meet
     for one_in in ROUNDS if many > 4 * placed.count() else ROUNDS[-1:]:
-        now = placed.select("node", "group").join(at, "node")
         share = F.pmod(F.xxhash64("node"), F.lit(one_in)).alias("share")
-        one = now.select(F.col("group").alias("g1"), F.col("node").alias("a"), F.col("c").alias("ca"), share)
-        two = now.select(F.col("group").alias("g2"), F.col("node").alias("b"), F.col("c").alias("cb"), share)
-        if found is not None:  # groups that lie in one component together need no further look
-            spans = now.groupBy("group").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-            apart = meet.join(spans.toDF("g1", "l1", "h1"), "g1").join(spans.toDF("g2", "l2", "h2"), "g2").where("l1 <> h1 or l2 <> h2 or l1 <> l2")
-            meet = staged(apart.select("g1", "g2"), "ngram-meet")
-        last = meet.join(one, "g1").join(two, ["g2", "share"]).where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        one = at.select(F.col("group").alias("g1"), F.col("node").alias("a"), F.col("c").alias("ca"), share)
+        two = at.select(F.col("group").alias("g2"), F.col("node").alias("b"), F.col("c").alias("cb"), share)
+        x, y = (F.struct(F.col(n).alias("n"), F.col(c).alias("c")) for n, c in (("a", "ca"), ("b", "cb")))
+        last = (
+            apart.join(one, "g1")
+            .join(two, ["g2", "share"])
+            .where("ca <> cb")
+            .select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+            .select(F.col("x.n").alias("a"), F.col("y.n").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
+            .distinct()
+        )
         across = staged(_verified(last, sets, percent), "ngram-across")
-        found = across if found is None else found.unionByName(across)
-        bridges = found.join(was.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(was.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
-        merged = components(bridges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "c")
-        at = staged(was.join(merged, "c", "left").select("node", F.coalesce("component", "c").alias("c")), "ngram-at")
-    final = at.withColumnRenamed("c", "component")
+        merged = staged(components(across.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "ngram-merged").withColumnRenamed("node", "c")
+        at = staged(at.join(merged, "c", "left").select("node", "group", F.coalesce("component", "c").alias("c")), "ngram-at")
+        if one_in > 1:  # groups that lie in one component together need no further look
+            spans = at.groupBy("group").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+            apart = apart.join(spans.toDF("g1", "l1", "h1"), "g1").join(spans.toDF("g2", "l2", "h2"), "g2").where("l1 <> h1 or l2 <> h2 or l1 <> l2")
+            apart = staged(apart.select("g1", "g2"), "ngram-apart")
+    final = at.select("node", F.col("c").alias("component"))
 
     named = staged(classes.select("digest", "n", "node").join(final, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component")), "ngram-named")
-    for table in (classes, likely, sets, frequent, counted, prefix, keyed, grouped, members, postings, leaders, headed, links, near, placed, spread, meet, was):
+    for table in (classes, likely, sets, frequent, counted, keyed, grouped, members, leaders, headed, links, near, placed, spread, meet):
         discard(table)
     return made.select("id", "n", "digest").join(named, ["digest", "n"], "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
